@@ -98,17 +98,17 @@ def remove_stopwords(c: Column, stopwords: Iterable[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """SCA-15: all phrases of ``n`` neighbouring tokens.
+    """SCA-15: all phrases of ``n`` neighbouring tokens, by zipping the array with its own tails.
 
-    ``tokens`` should be a stored column: it is read several times per element.
+    No element looks back into the whole array, so the cost stays linear even
+    where the planner inlines the expression behind ``tokens``.
     """
-    if n == 1:
-        return tokens
-    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(
-        starts,
-        lambda first, i: F.concat_ws(" ", first, *[F.get(tokens, i + k) for k in range(1, n)]),
-    )
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    phrases = F.slice(tokens, F.lit(1), count) if n > 1 else tokens
+    for k in range(1, n):
+        tail = F.slice(tokens, F.lit(k + 1), count)
+        phrases = F.zip_with(phrases, tail, lambda left, right: F.concat(left, F.lit(" "), right))
+    return phrases
 
 
 def ngram_range(tokens: Column, shortest: int, longest: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitally.functions.text import is_blank, round_half_even
-from lexitally.operators.ranking import rank_within
+from lexitally.operators.ranking import exploded, rank_within
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -67,9 +67,7 @@ def length_summary(docs: DataFrame, label: str, words: str = "word_count") -> Da
 
 def word_counts(docs: DataFrame, label: str, words: str = "words") -> DataFrame:
     """AGG-5: occurrences of each word in each label."""
-    return (
-        docs.select(label, F.explode(words).alias("word")).groupBy(label, "word").agg(rows().alias("count"))
-    )
+    return exploded(docs, F.col(words), "word", label).groupBy(label, "word").agg(rows().alias("count"))
 
 
 def vocabulary_size(docs: DataFrame, label: str, words: str = "words", approximate: bool = False) -> DataFrame:
@@ -95,7 +93,8 @@ def top_words(
         counts = word_counts(docs, label, words)
         order = [F.col("count").desc(), F.col("word")]
     else:
-        seen = docs.select(label, first_seen, F.posexplode(words).alias("_pos", "word"))
+        seen = docs.select(label, first_seen, F.posexplode_outer(words).alias("_pos", "word"))
+        seen = seen.where(F.col("word").isNotNull())
         counts = seen.groupBy(label, "word").agg(
             rows().alias("count"), F.min(F.struct(first_seen, "_pos")).alias("_first")
         )

@@ -11,6 +11,15 @@ from pyspark.sql import Window
 from lexitally.session import stage
 
 
+def exploded(df: DataFrame, array: Column, out: str, *keep: str) -> DataFrame:
+    """One row per element of an array column, the given columns kept; nulls vanish.
+
+    The plain ``explode`` makes the planner test the array for emptiness as early
+    as it can, which for a computed array means computing it twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
+
+
 def rank_within(
     df: DataFrame, group: str, order: Sequence[Column], top_n: int | None = None, out: str = "rank"
 ) -> DataFrame:

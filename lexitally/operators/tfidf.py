@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lexitally.functions.text import clean_words, ngram_range, remove_words, word_tokens
-from lexitally.operators.ranking import rank_within
+from lexitally.operators.ranking import exploded, rank_within
 from lexitally.session import stage
 
 MAX_BROADCAST_TERMS = 500_000
@@ -105,7 +105,7 @@ class Vocabulary:
 
 def document_frequencies(docs: DataFrame, terms: str = "terms", min_df: int = 1) -> DataFrame:
     """AGG-9: documents per term, terms in fewer than ``min_df`` left out."""
-    held = docs.select(F.explode(F.array_distinct(terms)).alias("term"))
+    held = exploded(docs, F.array_distinct(terms), "term")
     return held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
 
 

@@ -40,7 +40,7 @@ def quoted(values):
 
 LINKED = (
     "concat(chr(65279), 'See HTTPS://ex.com/a?b=1 or www.Ex.org/x ', text, "
-    "' a–b c—d http://e.x/', CAST(doc_id AS VARCHAR))"
+    "' a–b\u00a0c—d http://e.x/', CAST(doc_id AS VARCHAR))"
 )
 STOP = quoted(QUERY_STOPWORDS)
 
@@ -267,7 +267,7 @@ ORACLES = {
         concat(video_id, '_processed.txt') AS processed_name FROM rows""",
     "manifest_csv": f"WITH {ROWS} SELECT dataset_id, url, emotion, source_type, video_id FROM rows",
     "source_routing": f"""WITH {PAGES} SELECT page_id, {HOST} AS host, {ROUTE} AS source_type,
-        'UNSUPPORTED' AS drive, 'UNSUPPORTED' AS reel, 'UNSUPPORTED' AS hostless FROM pg""",
+        'GD' AS drive, 'IG' AS reel, 'UNSUPPORTED' AS hostless FROM pg""",
     "url_host_counts": f"""SELECT {HOST9} AS host, count(*) AS "count" FROM pages WHERE {HOST9} IS NOT NULL GROUP BY 1""",
     "url_filter": """WITH t AS (SELECT page_id, CASE WHEN NOT contains(url, 'ref=') THEN url END AS url FROM pages)
         SELECT * FROM t WHERE url IS NULL OR NOT regexp_matches(url, 'blog|cheap', 'i')""",
@@ -339,10 +339,10 @@ ORACLES = {
     "document_weights": f"""WITH {corpus()}, {TF}, {idf(2)}, {weights()}
         SELECT id AS doc_id, term, round_even(weight, 6) AS weight FROM weights""",
     "tfidf_transform_test": f"""WITH {KEPT}, {SPLIT},
-        {corpus(label='label', source='sides', id_sql='id, split')}, {TF},
+        {corpus(label='label', source='sides', id_sql='id')}, {TF},
         trained AS (SELECT tf.* FROM tf JOIN sides USING (id) WHERE split = 'train'),
         tested AS (SELECT tf.* FROM tf JOIN sides USING (id) WHERE split = 'test'),
-        {idf(1, 'trained', "(SELECT count(*) FROM docs WHERE split = 'train')")}, {weights(True, 'tested')}
+        {idf(1, 'trained', "(SELECT count(*) FROM docs JOIN sides USING (id) WHERE split = 'train')")}, {weights(True, 'tested')}
         SELECT id AS doc_id, term, round_even(weight, 6) AS weight FROM weights""",
     "distinctive_words": f"WITH {distinctive(**NOSTOP)} SELECT * FROM dist",
     "distinctive_words_carryover": f"WITH {distinctive(carryover=True, **NOSTOP)} SELECT * FROM dist",

@@ -60,7 +60,7 @@ def words(spark: SparkSession, sf: str, label: str = "lang", stopwords=(), ngram
 def with_link(c: str = "text"):
     """A text with a link, dashes and odd spaces added; the given texts hold hardly any."""
     return F.concat(
-        F.lit("\ufeffSee HTTPS://ex.com/a?b=1 or www.Ex.org/x "), F.col(c), F.lit(" a–b c—d http://e.x/"), F.col("doc_id")
+        F.lit("\ufeffSee HTTPS://ex.com/a?b=1 or www.Ex.org/x "), F.col(c), F.lit(" a–b\u00a0c—d http://e.x/"), F.col("doc_id")
     )
 
 
@@ -101,22 +101,21 @@ def stopword_removed(spark, sf):
 
 def stopword_anti_join(spark, sf):
     stop = spark.createDataFrame([(w,) for w in QUERY_STOPWORDS], "word string")
-    tokens = words(spark, sf).select("lang", F.explode("terms").alias("word"))
+    tokens = ranking.exploded(words(spark, sf), F.col("terms"), "word", "lang")
     return tokens.join(stop, "word", "left_anti").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def phrase_counts(shortest, longest):
     def query(spark, sf):
-        phrases = words(spark, sf, stopwords=QUERY_STOPWORDS, ngrams=(shortest, longest))
-        return phrases.select("doc_id", F.explode("terms").alias("phrase")).groupBy("doc_id", "phrase").agg(
-            F.count(F.lit(1)).alias("count")
-        )
+        docs = words(spark, sf, stopwords=QUERY_STOPWORDS, ngrams=(shortest, longest))
+        counted = tfidf.counted_terms(docs.drop("lang"))
+        return counted.select("doc_id", F.col("term").alias("phrase"), F.col("tf").cast("long").alias("count"))
 
     return query
 
 
 def valid_patterns(spark, sf):
-    held = words(spark, sf).select(F.explode(F.array_distinct("terms")).alias("word")).distinct()
+    held = ranking.exploded(words(spark, sf), F.array_distinct("terms"), "word").distinct()
     return held.where(text.is_valid_pattern(F.col("word")))
 
 
