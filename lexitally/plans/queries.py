@@ -377,10 +377,13 @@ tfidf_bigrams_shuffled = ranking_query(
 )
 
 
+def turns(spark, sf):
+    table_ = spread_small_scan(table(spark, sf, "conversations"), "conv_id")
+    return table_.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "role", "text")
+
+
 def tfidf_conversations(spark, sf):
-    turns = spread_small_scan(table(spark, sf, "conversations"), "conv_id")
-    docs = turns.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "role", "text")
-    return tfidf.tfidf_ranking(docs, "turn_id", "role")
+    return tfidf.tfidf_ranking(turns(spark, sf), "turn_id", "role")
 
 
 def document_weights(spark, sf):
@@ -531,13 +534,13 @@ def experiment_compare(spark, sf):
 
 
 def logreg_predictions(spark, sf):
-    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
-    return model.run_experiment(prepared, "doc_id", "lang")
+    prepared = model.prepared_corpus(turns(spark, sf), "turn_id", "role")
+    return model.run_experiment(prepared, "turn_id", "role")
 
 
 def experiment_grid(spark, sf):
-    predictions = model.experiment_grid(langs(spark, sf), "doc_id", "lang", stopwords=QUERY_STOPWORDS)
-    return model.compare_experiments(predictions, [e[0] for e in EXPERIMENTS], "lang")
+    predictions = model.experiment_grid(turns(spark, sf), "turn_id", "role", stopwords=QUERY_STOPWORDS)
+    return model.compare_experiments(predictions, [e[0] for e in EXPERIMENTS], "role")
 
 
 # streaming
