@@ -9,8 +9,9 @@ The work is two passes over the documents:
 1. ``fit_vocabulary`` counts, for every term, the documents that hold it, and
    writes that table. Nothing larger than the vocabulary is shuffled.
 2. ``label_scores`` (or ``document_weights``) weighs every term of a document.
-   Documents are hashed by id once, as text; counting, weighing and the
-   document norm then happen in place.
+   Given documents hashed by id while they were still text, as ``hashed_terms``
+   does, counting, weighing and the document norm all happen in place: the text
+   is the largest thing that is ever shuffled, and only once.
 
 The vocabulary is broadcast only while it is small (``MAX_BROADCAST_TERMS``).
 Beyond that the frequent head of it is broadcast, whose size has a proven bound
@@ -32,7 +33,7 @@ from lexitally.operators.ranking import exploded, rank_within
 from lexitally.session import stage
 
 MAX_BROADCAST_TERMS = 500_000
-MAX_TERM_BYTES = 256
+TERM_BYTES = 256
 
 
 def with_terms(
@@ -42,23 +43,30 @@ def with_terms(
     stopwords: Iterable[str] = (),
     raw: bool = True,
 ) -> DataFrame:
-    """Replace ``text`` by the array ``terms`` (FIL-1, SCA-13 to SCA-15).
+    """Replace ``text`` by the array ``terms`` and drop blank documents (FIL-1, SCA-13 to SCA-15).
 
     ``raw`` texts are cleaned on the way; others are tokenised as they are. A
-    blank document gets null and so contributes nothing anywhere; a document
-    that only loses its words to the stopwords gets an empty array and counts.
-    Blank rows are not filtered here: the filter would be pushed below the
-    shuffle and tokenise every text a second time.
+    document that only loses its words to the stopwords stays, with no terms.
+
+    Blank documents are dropped by a generator of no or one row. A plain filter
+    would be pushed down to the scan and tokenise every text a second time.
     """
     keep = [c for c in docs.columns if c != text]
     tokens = clean_words(F.col(text)) if raw else word_tokens(F.col(text))
-    out = docs.select(*keep, tokens.alias("_all"))
-    out = out.select(
-        *keep, F.when(F.size("_all") > 0, remove_words(F.col("_all"), stopwords)).alias("_tokens")
-    )
+    words = F.when(F.size("_all") > 0, F.array("_all"))
+    out = exploded(docs.select(*keep, tokens.alias("_all")), words, "_words", *keep)
+    out = out.select(*keep, remove_words(F.col("_words"), stopwords).alias("_tokens"))
     return out.select(*keep, ngram_range(F.col("_tokens"), *ngrams).alias("terms"))
 
 
+def hashed_terms(docs: DataFrame, id_col: str, *args, **options) -> DataFrame:
+    """``with_terms`` on documents hashed by id, for the steps that need a document in one place.
+
+    The text is smaller than its terms, so it is the text that is moved.
+    """
+    return with_terms(docs.repartition(id_col), *args, **options)
+
+
 def counted_terms(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """TXT-2: one row per document and distinct term, with its count ``tf``.
 
@@ -153,18 +161,21 @@ def fit_vocabulary(
 
 
 def fits_broadcast(vocab: Vocabulary, limit: int) -> bool:
-    return vocab.n_terms <= limit and vocab.n_bytes <= limit * MAX_TERM_BYTES
+    return vocab.n_terms <= limit and vocab.n_bytes <= limit * TERM_BYTES
 
 
 def split_head(vocab: Vocabulary, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent terms, at most ``limit`` of them, and the rest.
+    """The frequent terms, at most ``limit`` of them and ``limit * TERM_BYTES`` bytes, and the rest.
 
-    At most P / m terms can be in m documents or more when there are P postings
-    in all, so the threshold m = P / limit bounds the head whatever the data is.
-    In the rest no term has m documents: it has no hot key.
+    With P postings in all, at most P / m terms can be in m documents or more, so
+    asking for m = P / limit documents bounds the head whatever the data is. A
+    term longer than ``TERM_BYTES`` must be in more documents, in proportion to
+    its length, which bounds the bytes the same way. No term of the rest can be
+    a hot key: it is in fewer than that many documents.
     """
     least = max(1, -(-vocab.n_postings // limit))
-    in_head = (F.col("df") >= least) & (F.octet_length("term") <= MAX_TERM_BYTES)
+    size = F.greatest(F.octet_length("term"), F.lit(TERM_BYTES))
+    in_head = F.col("df") * TERM_BYTES >= size * F.lit(least)
     return vocab.terms.where(in_head), vocab.terms.where(~in_head)
 
 
@@ -192,32 +203,36 @@ def document_weights(
 
     The other columns of ``docs`` and of the vocabulary are carried along.
     """
-    counted = counted_terms(docs.repartition(id_col), terms)
-    tfidf = known_terms(counted, vocab, limit).withColumn("_w", vocab.tf() * F.col("idf"))
+    tfidf = known_terms(counted_terms(docs, terms), vocab, limit).withColumn("_w", vocab.tf() * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return tfidf.withColumn("weight", F.col("_w") / norm).drop("_w", "idf")
 
 
 def label_scores(
-    docs: DataFrame,
+    hashed: DataFrame,
     vocab: Vocabulary,
     id_col: str,
     label: str,
     terms: str = "terms",
     limit: int = MAX_BROADCAST_TERMS,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """AGG-10: mean weight of a term over all documents of a label, zeros included."""
+    """AGG-10: mean weight of a term over all documents of a label, zeros included.
+
+    ``hashed`` are the documents from ``hashed_terms``. ``docs`` may be the same
+    documents without the shuffle, for the one step that can do without.
+    """
     if fits_broadcast(vocab, limit):
-        weights = document_weights(docs.select(id_col, label, terms), vocab, id_col, terms, limit)
+        weights = document_weights(hashed.select(id_col, label, terms), vocab, id_col, terms, limit)
         sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("_sum"))
     else:
-        sums = _label_sums_by_norm(docs, vocab, id_col, label, terms, limit)
+        sums = _label_sums_by_norm(hashed, docs or hashed, vocab, id_col, label, terms, limit)
     return sums.join(vocab.label_sizes, label).select(
         label, "term", (F.col("_sum") / F.col("n_docs")).alias("score")
     )
 
 
-def _label_sums_by_norm(docs, vocab, id_col, label, terms, limit) -> DataFrame:
+def _label_sums_by_norm(hashed, docs, vocab, id_col, label, terms, limit) -> DataFrame:
     """Sum of weights per label and term when the vocabulary is too large to broadcast.
 
     A weight is tf * idf / norm, and idf is the same for all documents, so the
@@ -231,9 +246,10 @@ def _label_sums_by_norm(docs, vocab, id_col, label, terms, limit) -> DataFrame:
         .groupBy(id_col)
         .agg(F.sqrt(F.sum(w * w)).alias("_norm"))
     )
-    counted = counted_terms(docs.select(id_col, label, terms).repartition(id_col).join(norms, id_col), terms)
+    with_norm = hashed.select(id_col, label, terms).join(norms.hint("shuffle_hash"), id_col)
     return (
-        counted.groupBy(label, "term")
+        counted_terms(with_norm, terms)
+        .groupBy(label, "term")
         .agg(F.sum(vocab.tf() / F.col("_norm")).alias("_sum"))
         .join(vocab.terms.select("term", "idf"), "term")
         .select(label, "term", (F.col("_sum") * F.col("idf")).alias("_sum"))
@@ -258,9 +274,11 @@ def tfidf_ranking(
 
     Scores that are equal to 12 places rank in the order of the term.
     """
-    corpus = with_terms(docs.select(id_col, label, text), text, ngrams, stopwords, raw)
-    vocab = fit_vocabulary(corpus, label, min_df, sublinear)
-    scores = label_scores(corpus, vocab, id_col, label, limit=limit).where(F.col("score") > 0)
+    docs = docs.select(id_col, label, text)
+    plain = with_terms(docs, text, ngrams, stopwords, raw)
+    vocab = fit_vocabulary(plain, label, min_df, sublinear)
+    hashed = hashed_terms(docs, id_col, text, ngrams, stopwords, raw)
+    scores = label_scores(hashed, vocab, id_col, label, limit=limit, docs=plain).where(F.col("score") > 0)
     order = [F.round("score", 12).desc(), F.col("term")]
     return rank_within(scores, label, order, top_n).select(
         label, "rank", F.col("term").alias(term), F.bround("score", 6).alias("mean_tfidf")

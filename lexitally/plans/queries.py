@@ -50,7 +50,7 @@ def langs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str, label: str = "lang", stopwords=(), ngrams=(1, 1)) -> DataFrame:
-    """The corpus with an array of terms, null for blank documents."""
+    """The non-blank documents with an array of terms."""
     return tfidf.with_terms(documents(spark, sf, label, "text"), "text", ngrams, stopwords)
 
 
@@ -386,23 +386,24 @@ def tfidf_conversations(spark, sf):
     return tfidf.tfidf_ranking(turns(spark, sf), "turn_id", "role")
 
 
-def document_weights(spark, sf):
-    corpus = words(spark, sf)
-    vocab = tfidf.fit_vocabulary(corpus, "lang", 2)
-    weights = tfidf.document_weights(corpus.drop("lang"), vocab, "doc_id")
+def rounded_weights(docs, vocab):
+    weights = tfidf.document_weights(docs.drop("lang"), vocab, "doc_id")
     return weights.select("doc_id", "term", F.bround("weight", 6).alias("weight"))
 
 
+def document_weights(spark, sf):
+    vocab = tfidf.fit_vocabulary(words(spark, sf), "lang", 2)
+    return rounded_weights(tfidf.hashed_terms(langs(spark, sf), "doc_id"), vocab)
+
+
 def split_docs(spark, sf):
     return sampling.train_test_split(readers.drop_blank(langs(spark, sf)), "doc_id")
 
 
 def tfidf_transform_test(spark, sf):
-    corpus = tfidf.with_terms(split_docs(spark, sf), "text")
-    train, test = (corpus.where(F.col("split") == s).drop("split") for s in ("train", "test"))
-    vocab = tfidf.fit_vocabulary(train, "lang", 1, True)
-    weights = tfidf.document_weights(test.drop("lang"), vocab, "doc_id")
-    return weights.select("doc_id", "term", F.bround("weight", 6).alias("weight"))
+    train, test = (split_docs(spark, sf).where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    vocab = tfidf.fit_vocabulary(tfidf.with_terms(train), "lang", 1, True)
+    return rounded_weights(tfidf.hashed_terms(test, "doc_id"), vocab)
 
 
 # distinctiveness
@@ -483,7 +484,7 @@ def rare_labels(spark, sf):
 
 def rule_predictions(spark, sf, rule="words"):
     """Predict the language from which common words a text holds, or from its length."""
-    tokens = words(spark, sf).where(F.col("terms").isNotNull())
+    tokens = words(spark, sf)
 
     def holds(*some):
         return F.arrays_overlap("terms", F.array(*[F.lit(w) for w in some]))

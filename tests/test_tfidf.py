@@ -100,9 +100,11 @@ def test_head_is_bounded_and_rest_has_no_hot_term(spark):
     for limit in (1, 5, 40):
         head, rest = tfidf.split_head(vocab, limit)
         assert head.count() <= limit
+        assert (head.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= limit * tfidf.TERM_BYTES
         assert head.count() + rest.count() == vocab.n_terms
-        short = rest.where(F.length("term") < 100).agg(F.max("df")).first()[0]
-        assert short < -(-vocab.n_postings // limit)
+        least = -(-vocab.n_postings // limit)
+        for r in rest.collect():
+            assert r.df < least * max(1, len(r.term) / tfidf.TERM_BYTES)
 
 
 def test_frozen_vocabulary(spark):
