@@ -28,7 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lexitally.functions.text import clean_words, ngram_range, remove_words, word_tokens
+from lexitally.functions.text import (
+    clean_words,
+    is_blank,
+    ngram_range,
+    remove_stopwords,
+    remove_words,
+    word_tokens,
+)
 from lexitally.operators.ranking import exploded, rank_within
 from lexitally.session import stage
 
@@ -43,19 +50,25 @@ def with_terms(
     stopwords: Iterable[str] = (),
     raw: bool = True,
 ) -> DataFrame:
-    """Replace ``text`` by the array ``terms`` and drop blank documents (FIL-1, SCA-13 to SCA-15).
+    """Replace ``text`` by the array ``terms`` and drop blank documents (FIL-1, FIL-9, SCA-13 to SCA-15).
 
-    ``raw`` texts are cleaned on the way; others are tokenised as they are. A
-    document that only loses its words to the stopwords stays, with no terms.
+    ``raw`` texts are cleaned on the way. Others are taken as they are: stopwords
+    go by whitespace, the rest is tokenised by word characters. A document that
+    only loses its words to the stopwords stays, with no terms.
 
     Blank documents are dropped by a generator of no or one row. A plain filter
     would be pushed down to the scan and tokenise every text a second time.
     """
     keep = [c for c in docs.columns if c != text]
-    tokens = clean_words(F.col(text)) if raw else word_tokens(F.col(text))
-    words = F.when(F.size("_all") > 0, F.array("_all"))
-    out = exploded(docs.select(*keep, tokens.alias("_all")), words, "_words", *keep)
-    out = out.select(*keep, remove_words(F.col("_words"), stopwords).alias("_tokens"))
+    stopwords = tuple(stopwords)
+    if raw:
+        held = docs.select(*keep, clean_words(F.col(text)).alias("_all"))
+        held = exploded(held, F.when(F.size("_all") > 0, F.array("_all")), "_words", *keep)
+        words = remove_words(F.col("_words"), stopwords)
+    else:
+        held = docs.where(~is_blank(F.col(text)))
+        words = word_tokens(remove_stopwords(F.col(text), stopwords) if stopwords else F.col(text))
+    out = held.select(*keep, words.alias("_tokens"))
     return out.select(*keep, ngram_range(F.col("_tokens"), *ngrams).alias("terms"))
 
 
@@ -226,7 +239,7 @@ def label_scores(
         weights = document_weights(hashed.select(id_col, label, terms), vocab, id_col, terms, limit)
         sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("_sum"))
     else:
-        sums = _label_sums_by_norm(hashed, docs or hashed, vocab, id_col, label, terms, limit)
+        sums = _label_sums_by_norm(hashed, hashed if docs is None else docs, vocab, id_col, label, terms, limit)
     return sums.join(vocab.label_sizes, label).select(
         label, "term", (F.col("_sum") / F.col("n_docs")).alias("score")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexitally.functions.routing import processed_name
+from lexitally.functions.routing import processed_name  # noqa: F401
 from lexitally.functions.text import clean_text
 
 
