@@ -10,6 +10,9 @@ from pyspark.sql import Window
 
 from lexitally.session import stage
 
+PLANNED_TOP_N = 1_000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+SHARES = 64
+
 
 def exploded(df: DataFrame, array: Column, out: str, *keep: str) -> DataFrame:
     """One row per element of an array column, the given columns kept; nulls vanish.
@@ -27,7 +30,18 @@ def rank_within(
 
     With ``top_n`` every task first keeps its own best rows of a group, so one
     task sees at most ``top_n`` rows per upstream task, however large the group.
+    The planner does that up to ``PLANNED_TOP_N`` rows; beyond, a group is first
+    ranked in ``SHARES`` shares, and the best of each share are ranked together.
     """
+    if top_n is not None and top_n > PLANNED_TOP_N:
+        share = F.pmod(F.hash(*df.columns), F.lit(SHARES))
+        in_share = F.row_number().over(Window.partitionBy(group, "_share").orderBy(*order))
+        df = (
+            df.withColumn("_share", share)
+            .withColumn("_in_share", in_share)
+            .where(F.col("_in_share") <= top_n)
+            .drop("_share", "_in_share")
+        )
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     ranked = df.withColumn(out, rank)
     return ranked if top_n is None else ranked.where(F.col(out) <= top_n)
@@ -40,21 +54,21 @@ def number_within(df: DataFrame, group: str, order: Sequence[str], out: str = "s
     rows are cut into ranges of the order and written; each range is numbered by
     itself and starts where the counts of the ranges before it end.
     """
-    ranged, _ = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a text key that is never null: the window and the join then share one shuffle
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    ranged, _ = stage(
+        df.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), "_group": key})
+    )
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy(group, "_range")
+        ranged.groupBy("_group", "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col(group).alias("_group"),
-            F.col("_range").alias("_at"),
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        )
+        .select("_group", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*order))
     return (
         ranged.withColumn("_inside", inside)
-        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+        .join(starts, ["_group", "_range"])
         .select(*df.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(out))
     )
 

@@ -116,6 +116,7 @@ class Vocabulary:
     n_terms: int
     n_postings: int
     n_bytes: int
+    n_labels: int
     sublinear: bool = False
 
     def tf(self) -> Column:
@@ -159,6 +160,7 @@ def fit_vocabulary(
         n_terms=F.count("term"),
         n_postings=F.sum(F.when(~is_doc, F.col("n"))),
         n_bytes=F.sum(F.octet_length("term")),
+        n_labels=F.count_if(is_doc),
     )
     n_docs = seen["n_docs"] or 0
     idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("n"))) + F.lit(1.0)
@@ -169,6 +171,7 @@ def fit_vocabulary(
         n_terms=seen["n_terms"] or 0,
         n_postings=seen["n_postings"] or 0,
         n_bytes=seen["n_bytes"] or 0,
+        n_labels=seen["n_labels"] or 0,
         sublinear=sublinear,
     )
 
@@ -240,7 +243,8 @@ def label_scores(
         sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("_sum"))
     else:
         sums = _label_sums_by_norm(hashed, hashed if docs is None else docs, vocab, id_col, label, terms, limit)
-    return sums.join(vocab.label_sizes, label).select(
+    sizes = F.broadcast(vocab.label_sizes) if vocab.n_labels <= limit else vocab.label_sizes
+    return sums.join(sizes, label).select(
         label, "term", (F.col("_sum") / F.col("n_docs")).alias("score")
     )
 

@@ -126,3 +126,12 @@ def test_numbering_a_label_that_holds_most_rows(spark):
     for i, g in sorted(values):
         seen[g] = seen.get(g, 0) + 1
         assert got[i] == seen[g]
+
+
+@pytest.mark.parametrize("top_n", [3, 1500])
+def test_rank_within_large_groups(spark, top_n):
+    df = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"))
+    got = ranking.rank_within(df.repartition(6), "g", [F.col("id").desc()], top_n).collect()
+    for g in "ab":
+        ids = sorted((i for i in range(6000) if (i % 3 == 0) == (g == "b")), reverse=True)[:top_n]
+        assert [r.id for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == ids
