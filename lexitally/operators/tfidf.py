@@ -39,7 +39,7 @@ from lexitally.functions.text import (
 from lexitally.operators.ranking import exploded, rank_within
 from lexitally.session import stage
 
-MAX_BROADCAST_TERMS = 500_000
+MAX_BROADCAST_TERMS = 1_000_000
 TERM_BYTES = 256
 
 

@@ -78,7 +78,7 @@ def skewed_docs(n=120):
     return docs + [("blank", "hot", " "), ("long", "x", "z" * 400 + " common")]
 
 
-@pytest.mark.parametrize("limit", [500_000, 40, 5, 1])
+@pytest.mark.parametrize("limit", [1_000_000, 40, 5, 1])
 @pytest.mark.parametrize("options", [{}, {"grams": (2, 2), "min_df": 2}, {"grams": (1, 3), "sublinear": True, "stop": ("w1",)}])
 def test_scores_against_brute_force_on_every_join_path(spark, limit, options):
     docs = skewed_docs()
