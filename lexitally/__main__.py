@@ -10,6 +10,7 @@ from lexitally.session import build_session
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lexitally", description="Analyse a labelled collection of texts")
+    top.add_argument("--input-gb", type=float, default=None, help="size of the input, to size the shuffles")
     sub = top.add_subparsers(dest="run", required=True)
 
     def add(name, *places, **flags):
@@ -40,11 +41,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
-    name = args.pop("run")
+    name, size = args.pop("run"), args.pop("input_gb")
     if name == "ingest_manifest":
         args["skip_existing"] = not args.pop("overwrite")
         args["method"] = f"whisper:{args.pop('model')}"
-    result = getattr(runs, name)(build_session(), **args)
+    spark = build_session(input_bytes=None if size is None else int(size * (1 << 30)))
+    result = getattr(runs, name)(spark, **args)
     if result is not None:
         result.show(50, truncate=False)
 

@@ -37,11 +37,9 @@ PATTERNS = (
 
 def load(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """Cleaned documents: a folder per label holding text files, or the Parquet table of ``clean``."""
-    try:
-        docs = readers.read_corpus(spark, path, keep_empty=True).drop("word_count")
-        docs = docs if not docs.isEmpty() else spark.read.parquet(path)
-    except Exception as missing:
-        raise FileNotFoundError(path) from missing
+    docs = readers.read_corpus(spark, path, keep_empty=True).drop("word_count")
+    if docs.isEmpty():
+        docs = spark.read.parquet(path)
     return docs if keep_empty else readers.drop_blank(docs)
 
 
@@ -69,6 +67,7 @@ def describe(spark: SparkSession, corpus: str, out: str, top_n: int = 20) -> Non
     docs, _ = stage(docs.withColumn("word_count", F.size("words").cast("long")))
     docs.drop("words").write.mode("overwrite").parquet(f"{out}/transcript_dataset")
     sinks.write_report(eda.corpus_summary(docs), f"{out}/corpus_summary")
+    sinks.write_report(eda.label_counts(docs, "emotion").orderBy("emotion"), f"{out}/label_counts")
     sinks.write_report(eda.length_summary(docs, "emotion").orderBy("emotion"), f"{out}/text_length_by_emotion")
     sizes = eda.vocabulary_size(docs, "emotion").orderBy(F.col("vocabulary_size").desc(), "emotion")
     sinks.write_report(sizes, f"{out}/vocabulary_by_emotion")

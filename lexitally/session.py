@@ -8,8 +8,28 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def build_session(app_name: str = "lexitally", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; anything else is left to the cluster."""
+SHUFFLE_PARTITION_BYTES = 128 << 20
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions for an input of that size, so that each fits a task's memory.
+
+    The largest shuffle moves the text once, so partitions of the size of an input
+    split do; adaptive execution merges those that turn out small.
+    """
+    return max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
+
+
+def build_session(
+    app_name: str = "lexitally", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with adaptive execution and UTC; anything else is left to the cluster.
+
+    Give ``input_bytes`` for large inputs: Spark's default of 200 shuffle
+    partitions is meant for some gigabytes.
+    """
+    if input_bytes is not None:
+        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")

@@ -42,17 +42,24 @@ def _decoded(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    root = root.rstrip("/")
-    files = spark.read.text(f"{root}/*", wholetext=True, pathGlobFilter=pattern)
+def labelled_files(files: DataFrame, root: str) -> DataFrame:
+    """Label, file name and content of the files in the label folders under ``root``.
+
+    ``files`` is a read or a stream of ``<root>/*``; files lying directly in
+    ``root`` belong to no label and are left out.
+    """
     path = _decoded(F.col("_metadata.file_path"))
     parts = r"([^/]+)/([^/]+)/([^/]+)$"
-    return files.select(
-        F.regexp_extract(path, parts, 1).alias("_root"),
+    return files.where(F.regexp_extract(path, parts, 1) == root.rstrip("/").rsplit("/", 1)[-1]).select(
         F.regexp_extract(path, parts, 2).alias("emotion"),
         F.regexp_extract(path, parts, 3).alias("file_name"),
         F.col("value"),
-    ).where(F.col("_root") == root.rsplit("/", 1)[-1])
+    )
+
+
+def _texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    files = spark.read.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=pattern)
+    return labelled_files(files, root)
 
 
 def read_corpus(

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from lexitally.functions.routing import processed_name
 from lexitally.functions.text import clean_text
+from lexitally.sources.readers import labelled_files
 
 
 def cleaned_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -23,16 +24,9 @@ def cleaned_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def stream_texts(spark: SparkSession, root: str, pattern: str = "*_raw.txt") -> DataFrame:
     """ING-4: a stream of ``<root>/<label>/<file>``, one row per new file."""
-    files = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(f"{root.rstrip('/')}/*", wholetext=True)
-    )
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(
-        F.regexp_extract(path, r"([^/]+)/([^/]+)$", 1).alias("emotion"),
-        processed_name(F.regexp_extract(path, r"([^/]+)$", 1)).alias("file_name"),
-        F.col("value").alias("text"),
+    files = spark.readStream.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=pattern)
+    return labelled_files(files, root).select(
+        "emotion", processed_name(F.col("file_name")).alias("file_name"), F.col("value").alias("text")
     )
 
 

@@ -94,6 +94,11 @@ def test_stage_reports_metrics_and_cuts_lineage(spark):
     assert session.stage_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_shuffles_are_sized_for_the_input():
+    assert session.shuffle_partitions(10) == 200
+    assert session.shuffle_partitions(100 << 40) == 819_200
+
+
 def test_large_scans_are_left_alone(spark, tmp_path):
     spark.range(40).repartition(40).write.parquet(str(tmp_path / "many"))
     many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
@@ -107,6 +112,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     (root / "Joy").mkdir(parents=True)
     (root / "Joy" / "JOY_001_IG_raw.txt").write_text("Halo,\nDUNIA!\n")
     (root / "Joy" / "other.txt").write_text("no")
+    (root / "loose_raw.txt").write_text("no label")
     streaming.run_available(streaming.stream_texts(spark, str(root)), out, check, partition_by="emotion")
     (root / "Joy" / "JOY_002_IG_raw.txt").write_text("Baru www.x.id")
     streaming.run_available(streaming.stream_texts(spark, str(root)), out, check, partition_by="emotion")

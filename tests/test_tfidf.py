@@ -168,3 +168,15 @@ def test_filter_and_top(spark):
     assert everything.count() == 2 * 4
     wide = distinct.score_pivot(spark.createDataFrame(rows, "word string, emotion string, mean_tfidf double"), "word", "emotion", ["X", "Y"])
     assert {r.word: (r.X, r.Y) for r in wide.collect()}["ai"] == (0.8, 0.0)
+
+
+def test_empty_corpus(spark):
+    for docs in ([], [("d", "X", " ... ")]):
+        assert tfidf.tfidf_ranking(spark.createDataFrame(docs, SCHEMA), "id", "label").isEmpty()
+
+
+def test_processed_texts_are_taken_as_they_are(spark):
+    """Stopwords go by whitespace, tokens by word characters, case stays, "..." is not blank."""
+    docs = [("1", "X", "Aku, suka aku"), ("2", "X", "..."), ("3", "X", " ")]
+    got = {r.id: r.terms for r in frame(spark, docs, stopwords=["aku"], raw=False).collect()}
+    assert got == {"1": ["Aku", "suka"], "2": []}
