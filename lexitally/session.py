@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -46,18 +45,17 @@ def build_session(
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for tables between steps.
 
-    It is the folder the session names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own; on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    It is the folder the session names in ``spark.checkpoint.dir``, else the
+    checkpoint folder set on the context, else a folder in the warehouse. All three
+    are configured by whoever runs the cluster; nothing is written elsewhere.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="lexitally-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return warehouse.rstrip("/") + "/_staged"
 
 
 def stage_path(spark: SparkSession) -> str:
