@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lexitally.session import stage
 
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task turns into numbers at once; eight-byte copies of it are made.
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 

@@ -263,8 +263,9 @@ def jaccard_classes(
     rows, _ = stage(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n int, which binary, head array<long>"))
     named = rows.where("n > 0 and id is not null")
     classes = named.groupBy("which", "n").agg(F.min("id").alias("rep"))
-    heads = named.join(classes.select(F.col("rep").alias("id"), "which"), ["id", "which"]).select("id", "n", "head")
-    heads = heads.dropDuplicates(["id"])
+    # One class per id: where an id repeats with other texts, the smallest set hash speaks for it.
+    speaks = classes.groupBy(F.col("rep").alias("id")).agg(F.min("which").alias("which"))
+    heads = named.join(speaks, ["id", "which"]).select("id", "n", "head")
     posts = heads.select(F.col("id").alias("rep"), "n", F.posexplode("head").alias("pos", "gram"))
     groups = posts.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     # Postings of n-grams that several classes post: all that later steps need.
@@ -283,10 +284,11 @@ def jaccard_classes(
         .select("hub", F.col("rep").alias("member")).distinct()
     )
     takers = shared.select("rep").distinct()
+    # Repeated rows give repeated members, which changes no link.
     full = docs.join(takers.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(
         _full(words, counts), "rep long, grams binary"
     )
-    sets, _ = stage(full.dropDuplicates(["rep"]))
+    sets, _ = stage(full)
     links, _ = stage(_links(tested, sets, percent, counts))
 
     parts = connected_components(links)
