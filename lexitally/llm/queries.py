@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, language, ngram_join, suffix_dedup
+from lexitally.llm import bpe, language, mixture, ngram_join, sharding, suffix_dedup, url_filter
 from lexitally.llm.common import table
 
 
@@ -26,6 +26,40 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+#: The tree of the mixture: a domain per group of sources, then language, then source.
+DOMAINS = ("web", "books", "news", "code")
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 2, "news": 2, "code": 1}, "lang": {"en": 4}}
+
+
+def mix_levels() -> dict[str, F.Column]:
+    number = F.coalesce(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
+    domain = F.lit(DOMAINS[0])
+    for i, name in enumerate(DOMAINS):
+        domain = F.when(number % len(DOMAINS) == i, name).otherwise(domain)
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = mixture.mix(docs, mix_levels(), MIX_WEIGHTS, share=(1, 2), epochs=2, seed=2)
+    return picked.select("doc_id", "lang", "source", "mix_tokens", "mix_epoch")
+
+
+#: The rules of the contract.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeats(docs)
@@ -42,11 +76,19 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(docs).withColumnRenamed("id", "doc_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES = {
+    "op2_mixture": op2_mixture,
+    "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
+    "op10_sharding": op10_sharding,
 }
 
 #: Where SQL can express an operator on whole tables.
