@@ -27,6 +27,8 @@ from lexitally.llm.common import U64, byte_codes, connected_components, mix, sli
 from lexitally.session import stage
 
 SLOTS = 1 << 18
+#: Bits of the map of wanted classes.
+WANTED = 1 << 24
 #: Candidates of one hub that share a task; more are dealt to several.
 CHUNK = 256
 _CODES = byte_codes(9)
@@ -150,16 +152,47 @@ def _prefixes(words: int, percent: int, counts) -> Callable:
     return run
 
 
-def _full(words: int, counts) -> Callable:
+def _full(words: int, counts, wanted) -> Callable:
     def run(batches):
-        order = counts.value
-        for batch, sets in _texts(batches, words):
-            full = [_ordered(grams, order).tobytes() for grams in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], names=["rep", "grams"])
+        order, bits = counts.value, wanted.value
+        for batch in batches:
+            at = id_slots(batch.column(0).fill_null(0).to_numpy())
+            hit = (bits[at >> U64(6)] >> (at & U64(63)) & U64(1)).astype(bool) & ~np.asarray(batch.column(0).is_null())
+            batch = batch.filter(pa.array(hit))
+            for batch, sets in _texts(iter([batch]), words):
+                full = [_ordered(grams, order).tobytes() for grams in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], names=["rep", "grams"])
 
     return run
 
 
+def id_slots(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64)) % U64(WANTED)
+
+
+def _mark(batches):
+    for batch in batches:
+        at = np.unique(id_slots(batch.column(0).to_numpy()))
+        word, first = np.unique(at >> U64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, words: int, counts) -> DataFrame:
+    """Ordered sets of the classes in ``pairs``, made where the texts are read.
+
+    A bitmap of fixed size tells tasks which texts to take; a few too many are taken, and
+    they drop out by key afterwards, so no text is shuffled.
+    """
+    reps, _ = stage(pairs.select(F.explode(F.array("hub", "member")).alias("rep")).distinct())
+    bits = np.zeros(WANTED // 64, np.uint64)
+    for row in reps.mapInArrow(_mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        bits[row.word] = np.int64(row.bits).view(np.uint64)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+    full = docs.mapInArrow(_full(words, counts, wanted), "rep long, grams binary")
+    return stage(full.join(reps, "rep", "left_semi"))[0]
+
+
 class Trie:
     """Ordered sets as a trie with merged edges; every node knows the lengths below it."""
 
@@ -266,7 +299,8 @@ def jaccard_classes(
     # One class per id: where an id repeats with other texts, the smallest set hash speaks for it.
     speaks = classes.groupBy(F.col("rep").alias("id")).agg(F.min("which").alias("which"))
     heads = named.join(speaks, ["id", "which"]).select("id", "n", "head")
-    posts = heads.select(F.col("id").alias("rep"), "n", F.posexplode("head").alias("pos", "gram"))
+    # Dealt by n-gram once, for the count of an n-gram's classes and for the join with it.
+    posts = heads.select(F.col("id").alias("rep"), "n", F.posexplode("head").alias("pos", "gram")).repartition("gram")
     groups = posts.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     # Postings of n-grams that several classes post: all that later steps need.
     shared, _ = stage(posts.join(groups.select("gram", "hub"), "gram"))
@@ -283,12 +317,7 @@ def jaccard_classes(
         shared.where("rep != hub").join(at_hub, "gram").where(may_link("n", "pos", "hub_n", "hub_pos"))
         .select("hub", F.col("rep").alias("member")).distinct()
     )
-    takers = shared.select("rep").distinct()
-    # Repeated rows give repeated members, which changes no link.
-    full = docs.join(takers.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(
-        _full(words, counts), "rep long, grams binary"
-    )
-    sets, _ = stage(full)
+    sets = _sets(docs, tested, words, counts)
     links, _ = stage(_links(tested, sets, percent, counts))
 
     parts = connected_components(links)
@@ -306,7 +335,7 @@ def jaccard_classes(
         .join(tested, ["hub", "member"], "left_anti")
     )
     more, _ = stage(more)
-    last = links.union(_links(more, sets, percent, counts))
+    last = links.union(_links(more, _sets(docs, more, words, counts), percent, counts))
     of_rep = connected_components(last).select(F.col("id").alias("rep"), "component")
     found = classes.join(of_rep, "rep", "left").select("which", F.coalesce("component", "rep").alias("component"))
     out = rows.join(found, "which", "left")
