@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, language, mixture, ngram_join, sharding, suffix_dedup, url_filter
+from lexitally.llm import bpe, language, mixture, ngram_join, sharding, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(docs, WORD_BPE)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, BYTE_BPE, decode=True).select("doc_id", *bpe.digests())
@@ -86,6 +91,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
+    "op7_token_files": op7_token_files,
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_sharding": op10_sharding,
