@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, forest, language, mixture, ngram_join, sharding, suffix_dedup, token_files, url_filter
+from lexitally.llm import bpe, forest, language, mixture, ngram_join, sharding, small_world, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_world.near_duplicates(table(spark, sf_dir, "embeddings"), bound=0.9)
+
+
 #: The tree of the mixture: a domain per group of sources, then language, then source.
 DOMAINS = ("web", "books", "news", "code")
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 2, "news": 2, "code": 1}, "lang": {"en": 4}}
@@ -93,6 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_forest": op1_forest,
     "op2_mixture": op2_mixture,
+    "op3_small_world": op3_small_world,
     "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
