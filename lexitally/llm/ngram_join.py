@@ -71,10 +71,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
         if hi == lo:
             yield np.zeros(0, np.uint64)
         elif hi - lo < words:
-            whole = h[lo]
-            for x in h[lo + 1 : hi]:
-                whole = mix(whole[None])[0] + x
-            yield mix(whole[None] + U64(int(hi - lo)))
+            whole = h[lo : lo + 1]
+            for k in range(lo + 1, hi):
+                whole = mix(whole) + h[k : k + 1]
+            yield mix(whole + U64(int(hi - lo)))
         else:
             yield np.unique(gram[lo : hi - words + 1])
 
@@ -114,9 +114,9 @@ def _count(words: int) -> Callable:
     return run
 
 
-def _add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
 
 
 def gram_counts(docs: DataFrame, words: int) -> np.ndarray:

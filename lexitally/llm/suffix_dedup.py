@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexitally.llm.common import U64, byte_codes, mix, slices, utf8
 from lexitally.session import stage
@@ -422,58 +423,66 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_variants: int = M
     return copied.union(by_shard).union(by_window)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
-    for batch in batches:
-        data, offsets = utf8(batch.column(batch.schema.get_field_index("__text")))
-        spans = batch.column(batch.schema.get_field_index("__spans"))
-        removed, runs, kept = [], [], []
-        for r in range(len(batch)):
-            text = data[offsets[r] : offsets[r + 1]].tobytes()
-            pieces, at, n, k = [], 0, 0, 0
-            end = -1
-            for s in sorted((s["a"], s["b"]) for s in (spans[r].as_py() or ())):
-                if s[0] > end:
-                    k += 1
-                    pieces.append(text[at : s[0]])
-                    n += s[1] - s[0]
-                    end = at = s[1]
-                elif s[1] > end:
-                    n += s[1] - end
-                    end = at = s[1]
-            pieces.append(text[at:])
-            removed.append(n)
-            runs.append(k)
-            kept.append(b"".join(pieces))
-        others = [i for i, c in enumerate(batch.schema.names) if c not in ("__text", "__spans")]
-        cols = [batch.column(i) for i in others]
-        cols += [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[i] for i in others), *names])
+def _remove(as_text: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n_bytes", "n_removed", "n_spans", "kept"]
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index("__text")))
+            spans = batch.column(batch.schema.get_field_index("__spans"))
+            removed, runs, kept = [], [], []
+            for r in range(len(batch)):
+                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                pieces, end, n, k = [], 0, 0, 0
+                for a, b in sorted((s["a"], s["b"]) for s in (spans[r].as_py() or ())):
+                    if a > end or not k:
+                        pieces.append(text[end:a])
+                        k += 1
+                        end = a
+                    if b > end:
+                        n += b - end
+                        end = b
+                pieces.append(text[end:])
+                removed.append(n)
+                runs.append(k)
+                kept.append("".join(p.decode("utf-8", "ignore") for p in pieces) if as_text else b"".join(pieces))
+            others = [i for i, c in enumerate(batch.schema.names) if c not in ("__text", "__spans")]
+            cols = [batch.column(i) for i in others]
+            cols += [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+            cols.append(pa.array(kept, pa.string() if as_text else pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[i] for i in others), *names])
+
+    return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_variants: int = MOST_VARIANTS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    most_variants: int = MOST_VARIANTS,
+    as_text: bool = False,
 ) -> DataFrame:
-    """All columns but the text, with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (bytes).
+    """All columns but the text, with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in the
-    same text or another, is removed; strings are judged on the input. A null text counts
-    as empty. Rows are told apart by a number of their own, so repeated rows and null or
-    repeated ids are rows like others. What is kept may be cut inside a character.
+    same text or another, is removed; strings are judged on the input. ``kept`` is what is
+    left, as bytes that may end inside a character at a cut, or with ``as_text`` as text
+    without such halves. A null text counts as empty. Rows are told apart by a number of
+    their own where ids are null or repeat, so repeated rows are rows like others. Columns
+    of the input with the four names are replaced.
     """
-    from pyspark.sql import types as T
-
-    text = docs.select(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).cast("string").alias("__text"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    # A row's own number: its id where that is unique, which one count per id shows.
-    ids = text.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k = -1").limit(1).count()
-    if ids:
-        numbered, _ = stage(text.withColumn("__row", F.monotonically_increasing_id()))
-    else:
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    names = [c for c in docs.columns if c != text_col and c not in new]
+    text = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    key = F.col(id_col).cast("long")
+    ids = text.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or k is null").isEmpty():
         numbered = text.withColumn("__row", key)
+    else:
+        numbered, _ = stage(text.withColumn("__row", F.monotonically_increasing_id()))
     found = repeated_spans(numbered.select(F.col("__row").alias("id"), F.col("__text").alias("text")), length, most_variants)
     spans = found.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("__spans")).withColumnRenamed("id", "__row")
     rows = numbered.join(spans, "__row", "left").drop("__row")
-    fields = [rows.schema[c] for c in rows.columns if c not in ("__text", "__spans")]
-    fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return rows.mapInArrow(_remove, T.StructType(fields))
+    fields = [rows.schema[c] for c in names]
+    fields += [T.StructField(c, T.LongType()) for c in new[:3]] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    return rows.mapInArrow(_remove(as_text), T.StructType(fields))
