@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 
 from lexitally.plans import runs
-from lexitally.session import build_session
+from lexitally.session import build_session, drop_staged, input_bytes, shuffle_partitions
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lexitally", description="Analyse a labelled collection of texts")
-    top.add_argument("--input-gb", type=float, default=None, help="size of the input, to size the shuffles")
+    top.add_argument("--input-gb", type=float, default=None, help="size of the input, to size the shuffles (default: measured)")
     sub = top.add_subparsers(dest="run", required=True)
 
     def add(name, *places, **flags):
@@ -45,10 +45,17 @@ def main(argv: list[str] | None = None) -> None:
     if name == "ingest_manifest":
         args["skip_existing"] = not args.pop("overwrite")
         args["method"] = f"whisper:{args.pop('model')}"
-    spark = build_session(input_bytes=None if size is None else int(size * (1 << 30)))
-    result = getattr(runs, name)(spark, **args)
-    if result is not None:
-        result.show(50, truncate=False)
+    spark = build_session(expected_bytes=None if size is None else int(size * (1 << 30)))
+    if size is None:  # never fewer than the session was given
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sized = shuffle_partitions(input_bytes(spark, next(args[k] for k in ("raw", "corpus", "rankings", "manifest") if args.get(k))))
+        spark.conf.set("spark.sql.shuffle.partitions", max(least, sized if sized > 200 else least))
+    try:
+        result = getattr(runs, name)(spark, **args)
+        if result is not None:
+            result.show(50, truncate=False)
+    finally:
+        drop_staged(spark)
 
 
 if __name__ == "__main__":

@@ -41,7 +41,7 @@ HOST_RULES = (
 UNSUPPORTED = "UNSUPPORTED"
 
 # Patterns whose first group is a shared-drive file id, tried in order.
-DRIVE_ID_PATTERNS = (r"/file/d/([^/]+)", r"[?&]id=([^&]+)", r"/open\?id=([^&]+)")
+DRIVE_ID_PATTERNS = (r"/file/d/([^/]+)", r"[?&]id=([^&]+)")
 
 # Fragments of a download error that mean "the file is gone",
 # the note published for them, and the note for an error without a message.

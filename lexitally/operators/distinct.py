@@ -21,11 +21,11 @@ def mean_scores(ranking: DataFrame, term: str, label: str, score: str = "mean_tf
 
 
 def score_pivot(
-    ranking: DataFrame, term: str, label: str, labels: Sequence[str], score: str = "mean_tfidf"
+    ranking: DataFrame, term: str, label: str, labels: Sequence[str] | None = None, score: str = "mean_tfidf"
 ) -> DataFrame:
-    """RSH-1: one row per term, one column per label, zero where the term is not ranked."""
-    wide = ranking.groupBy(term).pivot(label, list(labels)).agg(F.avg(score))
-    return wide.na.fill(0.0, subset=list(labels))
+    """RSH-1: one row per term, one column per label of the data (or given), zero where the term is not ranked."""
+    wide = ranking.groupBy(term).pivot(label, None if labels is None else list(labels)).agg(F.avg(score))
+    return wide.na.fill(0.0, subset=[c for c in wide.columns if c != term])
 
 
 def distinctiveness(

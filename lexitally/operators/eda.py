@@ -118,7 +118,9 @@ def exclamations(docs: DataFrame, label: str, text: str = "text") -> DataFrame:
     )
 
 
-def word_comparison(docs: DataFrame, label: str, labels: Sequence[str], words: str = "words") -> DataFrame:
-    """OPT-3: one row per word, its occurrences in each of the given labels."""
-    counts = word_counts(docs.where(F.col(label).isin(list(labels))), label, words)
-    return counts.groupBy("word").pivot(label, list(labels)).agg(F.sum("count")).na.fill(0)
+def word_comparison(docs: DataFrame, label: str, words: str = "words", labels: Sequence[str] | None = None) -> DataFrame:
+    """OPT-3: one row per word, its occurrences in every label of the data, or in those asked for."""
+    if labels is not None:
+        docs = docs.where(F.col(label).isin(list(labels)))
+    counts = word_counts(docs, label, words)
+    return counts.groupBy("word").pivot(label, None if labels is None else list(labels)).agg(F.sum("count")).na.fill(0)

@@ -28,10 +28,12 @@ def manifest_rows(
     label: str = "emotion",
     rules: Sequence[tuple[str, str, str]] = HOST_RULES,
     codes: Mapping[str, str] = LABEL_CODES,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """SRC-1: cleaned, routed and numbered rows; rows of unsupported sources are numbered too.
 
-    The number counts the rows of a label in the order of ``order``.
+    The number counts the rows of a label in the order of ``order``, from where the
+    label's rows of an ``earlier`` ledger end.
     """
     rows = manifest.select(
         order,
@@ -41,6 +43,10 @@ def manifest_rows(
     )
     rows = rows.withColumn("source_type", source_type(F.col("url"), rules))
     numbered = number_within(rows, "emotion", [order])
+    if earlier is not None:  # one row per label
+        done = earlier.groupBy(F.col("emotion").alias("_emotion")).agg(F.count(F.lit(1)).alias("_done"))
+        numbered = numbered.join(done, F.col("emotion").eqNullSafe(F.col("_emotion")), "left")
+        numbered = numbered.withColumn("sequence", F.col("sequence") + F.coalesce("_done", F.lit(0))).drop("_emotion", "_done")
     vid = video_id(F.col("emotion"), F.col("sequence"), F.col("source_type"), codes)
     return numbered.withColumn("video_id", vid)
 
@@ -48,13 +54,15 @@ def manifest_rows(
 def outcomes_from_attempts(attempts: DataFrame) -> DataFrame:
     """Outcomes of download attempts ``(video_id, source_type, return_code, message)`` (SCA-8).
 
-    ``error_class`` is null for success and ``unavailable`` for a failed download.
+    ``error_class`` is null for success and ``unavailable`` for a failed download. The
+    label ``emotion`` and the order ``attempt`` are carried along where they are given.
     """
     note = F.when(F.col("source_type") == "GD", classify_error(F.col("message"), "GD")).otherwise(
         classify_error(F.col("message"), "IG")
     )
     bad = F.col("return_code") != 0
     return attempts.select(
+        *[c for c in ("emotion", "attempt") if c in attempts.columns],
         "video_id",
         F.when(bad, F.lit("unavailable")).alias("error_class"),
         F.when(bad, note).otherwise(F.lit("")).alias("message"),
@@ -77,8 +85,10 @@ def ingest_status(
     ``rows`` is ``manifest_rows``, ``existing`` names the raw texts present as
     ``(emotion, video_id)``, ``outcomes`` holds ``(video_id, error_class,
     message)`` of what was attempted: no class is success, ``unavailable`` is a
-    file that is gone, any other class a failure. A row nobody attempted keeps an
-    empty status. ``limit`` takes the first rows after numbering.
+    file that is gone, any other class a failure. Labels can share a code, so give
+    ``emotion`` with the outcomes; of several attempts the last by ``attempt`` counts
+    (without that column the largest note), and every row of the manifest has one row
+    in the ledger. A row nobody attempted keeps an empty status. ``limit`` takes the first rows after numbering.
     """
     batch = rows if limit is None else first_rows(rows, [order], limit)
     present = existing.select("emotion", "video_id").distinct().withColumn("_present", F.lit(True))
@@ -90,13 +100,12 @@ def ingest_status(
             "_tried", F.lit(False)
         )
     else:
-        tried = outcomes.select(
-            "video_id",
-            F.col("error_class").alias("_class"),
-            F.coalesce("message", F.lit("")).alias("_note"),
-            F.lit(True).alias("_tried"),
-        )
-        ledger = ledger.join(tried, "video_id", "left").withColumn("_tried", F.coalesce("_tried", F.lit(False)))
+        keys = [c for c in ("emotion", "video_id") if c in outcomes.columns]
+        found = F.struct(F.col("error_class").alias("_class"), F.coalesce("message", F.lit("")).alias("_note"))
+        last = F.col("attempt") if "attempt" in outcomes.columns else found["_note"]
+        tried = outcomes.groupBy(*keys).agg(F.max(F.struct(last.alias("_last"), found.alias("_found"))).alias("_best"))
+        tried = tried.select(*keys, "_best._found.*", F.lit(True).alias("_tried"))
+        ledger = ledger.join(tried, keys, "left").withColumn("_tried", F.coalesce("_tried", F.lit(False)))
 
     unsupported = F.col("source_type") == UNSUPPORTED
     no_id = (F.col("source_type") == "GD") & drive_file_id(F.col("url")).isNull()

@@ -7,7 +7,10 @@ ways around shuffles that the Spark side takes.
 from __future__ import annotations
 
 from lexitally.functions.defaults import ERROR_RULES, EXPERIMENTS
-from lexitally.plans.queries import LANGS, PAGE_CODES, PAGE_RULES, QUERY_STOPWORDS
+from lexitally.plans.queries import PAGE_CODES, PAGE_RULES, QUERY_STOPWORDS
+
+# The languages of ``documents``; SQL needs the names of its columns beforehand.
+LANGS = ["de", "en", "es", "fr"]
 
 S = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 W = r"\p{L}\p{N}_"

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from lexitally.functions import routing, text
 from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
 from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf
-from lexitally.session import spread_small_scan, stage_path
+from lexitally.session import spread_single_file, stage, stage_path
 from lexitally.sources import readers, sinks
 from lexitally.streaming import ingest as streaming
 
-LANGS = ["de", "en", "es", "fr"]
-
 # Common words of the four languages of ``documents``, so that removal has an effect there.
 COMMON_WORDS = tuple(
     "the of and to in is that for on with der die und den von mit das la le les des un une et el los que de".split()
@@ -223,6 +221,7 @@ def attempts(rows):
     """Outcomes told by the address: a query string is gone, a fragment fails, "blog" was not tried."""
     url = F.col("url")
     return rows.where(~url.contains("blog")).select(
+        "emotion",
         "video_id",
         F.when(url.contains("?"), F.lit("unavailable")).when(url.contains("#"), F.lit("RuntimeError")).alias("error_class"),
         F.when(url.contains("?"), F.lit("gone")).when(url.contains("#"), F.concat(F.lit("boom "), url)).alias("message"),
@@ -321,7 +320,7 @@ def top_words_first_seen(spark, sf):
 
 
 def word_comparison(spark, sf):
-    return eda.word_comparison(words(spark, sf), "lang", LANGS, "terms")
+    return eda.word_comparison(words(spark, sf), "lang", "terms")
 
 
 def exclamations(spark, sf):
@@ -378,7 +377,7 @@ tfidf_bigrams_shuffled = ranking_query(
 
 
 def turns(spark, sf):
-    table_ = spread_small_scan(table(spark, sf, "conversations"), "conv_id")
+    table_ = spread_single_file(table(spark, sf, "conversations"), "conv_id")
     return table_.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "role", "text")
 
 
@@ -397,7 +396,9 @@ def document_weights(spark, sf):
 
 
 def split_docs(spark, sf):
-    return sampling.train_test_split(readers.drop_blank(langs(spark, sf)), "doc_id")
+    """The split of the non-blank documents; their text is read once."""
+    kept, _ = stage(readers.drop_blank(langs(spark, sf)).select("doc_id", "lang"))
+    return sampling.train_test_split(kept, "doc_id")
 
 
 def tfidf_transform_test(spark, sf):
@@ -444,7 +445,7 @@ def distinctive_top20(spark, sf):
 
 
 def label_pivot(spark, sf):
-    return distinct.score_pivot(tfidf_words_nostop(spark, sf), "word", "lang", LANGS)
+    return distinct.score_pivot(tfidf_words_nostop(spark, sf), "word", "lang")
 
 
 def ranking_csv(spark, sf):
@@ -506,7 +507,7 @@ def class_weights(spark, sf):
 
 
 def confusion_matrix(spark, sf):
-    return metrics.confusion_matrix(rule_predictions(spark, sf), "lang", "prediction", LANGS + ["other"])
+    return metrics.confusion_matrix(rule_predictions(spark, sf), "lang", "prediction")
 
 
 def confusion_counts(spark, sf):
@@ -559,10 +560,11 @@ def stream_ledger(spark, sf):
     pages = table(spark, sf, "pages")
     stream = streaming.stream_table(spark, sf, "pages.parquet", pages.schema)
 
-    def to_ledger(batch):
+    def to_ledger(batch, earlier):
         label = F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1)
         rows = ingest.manifest_rows(
-            batch.select("page_id", "url", label.alias("label")), "page_id", "page_id", "url", "label", PAGE_RULES, PAGE_CODES
+            batch.select("page_id", "url", label.alias("label")), "page_id", "page_id", "url", "label", PAGE_RULES, PAGE_CODES,
+            earlier,
         )
         return ingest.ingest_status(rows, existing_pages(spark, sf, rows), attempts(rows), order="page_id")
 

@@ -8,27 +8,40 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 SHUFFLE_PARTITION_BYTES = 128 << 20
+#: Reducers at most: the driver keeps a size per mapper and reducer, and fetches get tiny.
+MOST_SHUFFLE_PARTITIONS = 20_000
 
 
 def shuffle_partitions(input_bytes: int) -> int:
-    """Shuffle partitions for an input of that size, so that each fits a task's memory.
+    """Shuffle partitions for an input of that size.
 
     The largest shuffle moves the text once, so partitions of the size of an input
-    split do; adaptive execution merges those that turn out small.
+    split do up to some terabytes; beyond, partitions grow instead of their number
+    (5 GB at 100 TB), which sorts and aggregates spill through. Adaptive execution
+    merges those that turn out small.
     """
-    return max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
+    return min(MOST_SHUFFLE_PARTITIONS, max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES)))
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes under the paths, as the file systems' own summaries give them."""
+    total = 0
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return total
 
 
 def build_session(
-    app_name: str = "lexitally", master: str | None = None, input_bytes: int | None = None, **conf: str
+    app_name: str = "lexitally", master: str | None = None, expected_bytes: int | None = None, **conf: str
 ) -> SparkSession:
     """A session with adaptive execution and UTC; anything else is left to the cluster.
 
-    Give ``input_bytes`` for large inputs: Spark's default of 200 shuffle
-    partitions is meant for some gigabytes.
+    Give ``expected_bytes`` for large inputs, or set the partitions once the input's
+    size is known: Spark's default of 200 is meant for some gigabytes.
     """
-    if input_bytes is not None:
-        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
+    if expected_bytes is not None:
+        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions(expected_bytes)))
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
@@ -79,11 +92,15 @@ def stage(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get if seen else {})
 
 
-def spread_small_scan(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash an input with fewer splits than cores over all of them.
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this application has staged; for the end of a run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path("/".join([stage_root(spark), spark.sparkContext.applicationId]))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread_single_file(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash a table of one file, which one task may have to read, over all cores.
 
-    A large table already comes in many more splits than there are cores and is
-    returned as it is. Meant for a plain scan: asking for its splits runs no job.
+    A large table is many files and is returned as it is, whatever the cluster's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(*cols)
+    return df.repartition(*cols) if len(df.inputFiles()) == 1 else df

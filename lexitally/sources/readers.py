@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexitally.functions.routing import blank_to_null
 from lexitally.functions.text import collapse_ends, is_blank, word_count
-from lexitally.session import spread_small_scan
+from lexitally.session import spread_single_file
 
+# The columns of a manifest file.
 MANIFEST_COLUMNS = ("id", "video", "emotion")
 
 
@@ -18,17 +19,17 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     """SRC-2: an error that names all missing columns, before any job runs."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required column(s): {', '.join(missing)}")
+        raise ValueError(f"the table lacks the columns {missing}")
     return df
 
 
 def read_manifest(
-    spark: SparkSession, path: str, blank_as_null: bool = False, multi_line: bool = False
+    spark: SparkSession, path: str, blank_as_null: bool = False, multi_line: bool = True
 ) -> DataFrame:
     """SRC-1, SRC-7: all columns as text, with ``row_order`` for the order of the file.
 
-    ``multi_line`` allows line breaks inside quoted fields, at the price of a
-    file that cannot be split.
+    Quoted fields may hold line breaks. A file is then read by one task; without
+    ``multi_line`` it can be split, but such a field would become two rows.
     """
     rows = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     require_columns(rows, MANIFEST_COLUMNS)
@@ -109,8 +110,8 @@ def existing_transcripts(spark: SparkSession, root: str, pattern: str = "*_raw.t
 
 
 def read_table(spark: SparkSession, path: str, id_col: str, *columns: str) -> DataFrame:
-    """A corpus kept as Parquet; small inputs are spread over all cores by id."""
-    return spread_small_scan(spark.read.parquet(path).select(id_col, *columns), id_col)
+    """A corpus kept as Parquet; a table of one file is spread over all cores by id."""
+    return spread_single_file(spark.read.parquet(path).select(id_col, *columns), id_col)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

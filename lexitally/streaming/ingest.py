@@ -23,16 +23,21 @@ def cleaned_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stream_texts(spark: SparkSession, root: str, pattern: str = "*_raw.txt") -> DataFrame:
-    """ING-4: a stream of ``<root>/<label>/<file>``, one row per new file."""
+    """ING-4: a stream of ``<root>/<label>/<file>``, one row per new file.
+
+    As in the batch, files that are not UTF-8 are left out; ``readers.read_errors`` lists them.
+    """
     files = spark.readStream.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=pattern)
-    return labelled_files(files, root).select(
+    return labelled_files(files, root).where(F.is_valid_utf8("value")).select(
         "emotion", processed_name(F.col("file_name")).alias("file_name"), F.col("value").alias("text")
     )
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A stream over the Parquet files of one table."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream over the Parquet files of one table, a directory or a single file."""
+    # A stream refuses the plain path of a file; a pattern that fits one name takes either.
+    place = f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}]"
+    return spark.readStream.schema(schema).parquet(place)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, text: str = "text", partition_by: str | None = None) -> None:
@@ -47,12 +52,17 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, text: str = "tex
 
 
 def run_ledger(
-    stream: DataFrame, to_ledger: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    stream: DataFrame, to_ledger: Callable[[DataFrame, DataFrame | None], DataFrame], out: str, checkpoint: str
 ) -> None:
-    """SNK-7: one ledger directory per batch, named by its number and overwritten on a retry."""
+    """SNK-7: one ledger directory per batch, named by its number and overwritten on a retry.
+
+    ``to_ledger`` gets a batch and the ledger of the batches before it (none for the
+    first). A retried batch sees the same earlier ones, so it writes the same rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        to_ledger(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        earlier = batch.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id) if batch_id else None
+        to_ledger(batch, earlier).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)

@@ -135,3 +135,19 @@ def test_rank_within_large_groups(spark, top_n):
     for g in "ab":
         ids = sorted((i for i in range(6000) if (i % 3 == 0) == (g == "b")), reverse=True)[:top_n]
         assert [r.id for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == ids
+
+
+def test_one_ledger_row_per_manifest_row(spark):
+    """Labels that share a code share ids; attempts repeat."""
+    df = spark.createDataFrame(
+        [(1, "a", "https://www.instagram.com/1", "Happy"), (2, "b", "https://www.instagram.com/2", "Hapless")],
+        "row_order long, id string, video string, emotion string",
+    )
+    rows = ingest.manifest_rows(df)
+    assert {r.video_id for r in rows.collect()} == {"HAP_001_IG"}
+    tries = [("Happy", "HAP_001_IG", "IG", 1, "", 1), ("Happy", "HAP_001_IG", "IG", 0, "", 2), ("Hapless", "HAP_001_IG", "IG", 0, "", 1), ("Hapless", "HAP_001_IG", "IG", 1, "gone", 2)]
+    attempts = spark.createDataFrame(tries, "emotion string, video_id string, source_type string, return_code int, message string, attempt int")
+    existing = rows.select("emotion", "video_id").limit(0)
+    ledger = ingest.ingest_status(rows, existing, ingest.outcomes_from_attempts(attempts))
+    assert statuses(ledger) == {"a": ("transcribed", True, ""), "b": ("deleted_or_unavailable", False, "gone")}
+    assert ingest.ingest_status(rows, existing, ingest.outcomes_from_attempts(attempts).drop("emotion")).count() == 2

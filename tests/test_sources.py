@@ -57,7 +57,7 @@ def test_manifest(spark, tmp_path):
     numbered = ingest.manifest_rows(readers.read_manifest(spark, str(path)))
     assert {r.dataset_id: r.video_id for r in numbered.collect()} == {"1": "JOY_001_UNSUPPORTED", "2": "JOY_002_UNSUPPORTED"}
     path.write_text("id\n1\n")
-    with pytest.raises(ValueError, match=r"Missing required column\(s\): emotion, video"):
+    with pytest.raises(ValueError, match=r"lacks the columns \['emotion', 'video'\]"):
         readers.read_manifest(spark, str(path))
 
 
@@ -96,15 +96,27 @@ def test_stage_reports_metrics_and_cuts_lineage(spark):
 
 def test_shuffles_are_sized_for_the_input():
     assert session.shuffle_partitions(10) == 200
-    assert session.shuffle_partitions(100 << 40) == 819_200
+    assert session.shuffle_partitions(1 << 40) == 8192
+    assert session.shuffle_partitions(100 << 40) == 20_000
 
 
 def test_large_scans_are_left_alone(spark, tmp_path):
     spark.range(40).repartition(40).write.parquet(str(tmp_path / "many"))
-    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
-    cores = spark.sparkContext.defaultParallelism
-    spread = session.spread_small_scan(many, "id")
-    assert (spread is many) == (many.rdd.getNumPartitions() > 2 * cores)
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert session.spread_single_file(many, "id") is many
+    spark.range(40).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert session.spread_single_file(one, "id").count() == 40
+
+
+def test_staged_tables_go_at_the_end(spark):
+    from pyspark.errors import AnalysisException
+
+    table, _ = session.stage(spark.range(3))
+    session.drop_staged(spark)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        spark.read.parquet(*table.inputFiles())
+    assert session.input_bytes(spark, "/root/testdata/sf0.001/region.parquet") > 0
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -130,7 +142,7 @@ def test_ledger_batches(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "id long")
     one.write.parquet(str(source / "a"))
     stream = lambda: spark.readStream.schema("id long").option("recursiveFileLookup", True).parquet(str(source))
-    mark = lambda batch: batch.withColumn("status", F.lit("done"))
+    mark = lambda batch, earlier: batch.withColumn("status", F.lit("done"))
     streaming.run_ledger(stream(), mark, out, str(tmp_path / "c"))
     spark.createDataFrame([(2,)], "id long").write.parquet(str(source / "b"))
     streaming.run_ledger(stream(), mark, out, str(tmp_path / "c"))
