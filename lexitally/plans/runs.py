@@ -109,7 +109,7 @@ def contrast(spark: SparkSession, rankings: str, out: str, carryover: bool = Fal
 def classify(spark: SparkSession, corpus: str, out: str, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
     """ML-7 to ML-10, SNK-6: all experiments with their reports; returns the comparison."""
     docs = readers.require_rows(load(spark, corpus))
-    predictions = model.experiment_grid(docs, "doc_id", "emotion", stopwords=stopwords)
+    predictions = model.experiment_grid(docs, "doc_id", "emotion", stopwords=stopwords, raw=False)
     names = [name for name, _, _ in EXPERIMENTS]
     for name in names:
         own = predictions.where(F.col("experiment") == name)
