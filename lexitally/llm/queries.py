@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, forest, language, mixture, ngram_join, sharding, small_world, suffix_dedup, token_files, url_filter
+from lexitally.llm import bpe, forest, language, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -108,4 +108,7 @@ QUERIES = {
 }
 
 #: Where SQL can express an operator on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixture": oracles.mixture(DOMAINS, MIX_WEIGHTS, (1, 2), 2, 2),
+    "op4_url_filter": oracles.url_filter(URL_RULES),
+}
