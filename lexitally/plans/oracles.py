@@ -121,6 +121,28 @@ SPLIT = f"""sides AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {HASH.form
     <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM kept)"""
 KEPT = f"kept AS (SELECT doc_id AS id, lang AS label, text FROM documents WHERE regexp_matches(text, '[^{S}]'))"
 
+
+def seen_by_model(key="doc_id", experiment=None, **options):
+    """Test rows with the number of their known terms and the sum of their weights."""
+    name = "" if experiment is None else f"'{experiment}' AS experiment, "
+    label = options.get("label", "lang")
+    return f"""WITH {corpus(**options)}, {TF},
+        sides AS (SELECT id, label, CASE WHEN row_number() OVER (ORDER BY {HASH.format(id='id')}, id)
+            <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM docs),
+        trained AS (SELECT tf.* FROM tf JOIN sides USING (id) WHERE split = 'train'),
+        tested AS (SELECT tf.* FROM tf JOIN sides USING (id) WHERE split = 'test'),
+        {idf(1, 'trained', "(SELECT count(*) FROM sides WHERE split = 'train')")}, {weights(True, 'tested')},
+        seen AS (SELECT id, count(*) AS n, sum(weight) AS s FROM weights GROUP BY id)
+        SELECT {name}id AS {key}, label AS {label}, coalesce(n, 0)::BIGINT AS n_features,
+            round_even(coalesce(s, 0.0::DOUBLE), 6) AS weight_sum, true AS known_label
+        FROM sides LEFT JOIN seen USING (id) WHERE split = 'test'"""
+
+
+TURNS = {"label": "role", "source": "conversations", "id_sql": "concat(conv_id, '-', turn)"}
+GRID = " UNION ALL ".join(
+    f"SELECT * FROM ({seen_by_model('turn_id', name, ngrams=ngrams, stopwords=without, **TURNS)})" for name, ngrams, without in EXPERIMENTS
+)
+
 PAGES = """pg AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS label FROM pages)"""
 HOST = "lower(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//(?:[^/?#]*@)?([^/?#:]*)', 1), ''))"
 HOST9 = "nullif(regexp_extract(url, 'https?://([^/]+)', 1), '')"
@@ -364,6 +386,8 @@ ORACLES = {
     "stratified_sample": f"""SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source
         ORDER BY {HASH.format(id='doc_id')}, doc_id) AS INTEGER) AS sample_no FROM documents
         WHERE source IS NOT NULL QUALIFY sample_no <= 5""",
+    "logreg_predictions": seen_by_model(),
+    "experiment_grid": GRID,
     "train_test_split": f"WITH {KEPT}, {SPLIT} SELECT id AS doc_id, split FROM sides",
     "split_distribution": f"""WITH {KEPT}, {SPLIT} SELECT split, label AS lang, count(*) AS "count" FROM sides GROUP BY ALL""",
     "rare_labels": f"""SELECT {HOST9} AS host, count(*) AS "count" FROM pages WHERE {HOST9} IS NOT NULL

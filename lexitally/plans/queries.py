@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.functions import routing, text
-from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
+from lexitally.functions.defaults import STOPWORDS
 from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf
 from lexitally.session import spread_single_file, stage, stage_path
 from lexitally.sources import readers, sinks
@@ -395,14 +395,15 @@ def document_weights(spark, sf):
     return rounded_weights(tfidf.hashed_terms(langs(spark, sf), "doc_id"), vocab)
 
 
-def split_docs(spark, sf):
+def split_docs(spark, sf, *more):
     """The split of the non-blank documents; their text is read once."""
-    kept, _ = stage(readers.drop_blank(langs(spark, sf)).select("doc_id", "lang"))
+    kept, _ = stage(readers.drop_blank(langs(spark, sf)).select("doc_id", "lang", *more))
     return sampling.train_test_split(kept, "doc_id")
 
 
 def tfidf_transform_test(spark, sf):
-    train, test = (split_docs(spark, sf).where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    whole = split_docs(spark, sf, "text")
+    train, test = (whole.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     vocab = tfidf.fit_vocabulary(tfidf.with_terms(train), "lang", 1, True)
     return rounded_weights(tfidf.hashed_terms(test, "doc_id"), vocab)
 
@@ -536,13 +537,23 @@ def experiment_compare(spark, sf):
 
 
 def logreg_predictions(spark, sf):
-    prepared = model.prepared_corpus(turns(spark, sf), "turn_id", "role")
-    return model.run_experiment(prepared, "turn_id", "role")
+    """Test documents with what the classifier saw of them, and whether it gave a label it knows.
+
+    The optimum itself is tested by its gradient.
+    """
+    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
+    return seen_by_model(model.run_experiment(prepared, "doc_id", "lang", sums=True), prepared, "lang")
+
+
+def seen_by_model(predicted, prepared, label):
+    known = prepared.where("split = 'train'").select(F.col(label).alias("prediction"), F.lit(True).alias("known_label")).distinct()
+    rows = predicted.join(known, "prediction", "left").drop("prediction")
+    return rows.withColumns({"known_label": F.coalesce("known_label", F.lit(False)), "weight_sum": F.bround("weight_sum", 6)})
 
 
 def experiment_grid(spark, sf):
-    predictions = model.experiment_grid(turns(spark, sf), "turn_id", "role", stopwords=QUERY_STOPWORDS)
-    return model.compare_experiments(predictions, [e[0] for e in EXPERIMENTS], "role")
+    predictions = model.experiment_grid(turns(spark, sf), "turn_id", "role", stopwords=QUERY_STOPWORDS, sums=True)
+    return seen_by_model(predictions, model.prepared_corpus(turns(spark, sf), "turn_id", "role"), "role")
 
 
 # streaming
