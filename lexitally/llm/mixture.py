@@ -138,18 +138,19 @@ def mix(
     last = last.groupBy(*keys, "place", "left").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     cut = last.withColumn("before", upto - F.col("n")).where("before < left").groupBy(*keys).agg(F.max("place").alias("cut"))
-    plans, _ = stage(_by_leaf(tree, cut, keys, "left").select(*keys, "whole", "cut"))
+    ended = _by_leaf(tree, cut, keys, "left").select(*keys, F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    plans, _ = stage(ended)
     rows = with_leaf(rows, plans)
-    in_last = F.when(F.col("cut").isNotNull() & (_place(seed) <= F.col("cut")), 1).otherwise(0)
-    times = (F.col("whole") + in_last).cast("int")
+    in_last = F.when(F.col("__cut").isNotNull() & (_place(seed, "__whole") <= F.col("__cut")), 1).otherwise(0)
+    times = (F.col("__whole") + in_last).cast("int")
     rows = rows.withColumn("__times", times).where("__times > 0")
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     return rows.withColumn("mix_tokens", token_count(text_col)).select(*names, "mix_tokens", "mix_epoch")
 
 
-def _place(seed: int):
-    """A document's place in the last epoch of its leaf."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.col("__id")))
+def _place(seed: int, whole: str = "whole"):
+    """A document's place in the last epoch of its leaf, the one after its whole epochs."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(whole).cast("string"), F.col("__id")))
 
 
 def _by_leaf(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -133,6 +133,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     columns = [*names, *new]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):  # rules begin where no page lies
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
         left = left.sort_values("__key", kind="stable")
         mine = sorted((r["key"], r["path"], r["name"], r["verdict"]) for r in right["__rule"])
         found = list(sweep(mine, zip(left["__key"], left["path"])))
