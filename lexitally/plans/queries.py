@@ -465,7 +465,8 @@ def ranking_csv(spark, sf):
 
 
 def stratified_sample(spark, sf):
-    return sampling.sample_per_label(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return sampling.in_label_order(sampling.sample_per_label(docs, "source", "doc_id"), "source")
 
 
 def train_test_split(spark, sf):

@@ -138,3 +138,11 @@ def test_class_weights(pairs):
     got = {r.truth: r.class_weight for r in metrics.class_weights(pairs, "truth").collect()}
     assert got == pytest.approx({"A": 6 / 9, "B": 1.0, "C": 2.0})
     assert sum(got[t] for t, _ in PAIRS) == pytest.approx(6)
+
+
+def test_samples_come_in_label_order(spark):
+    from lexitally.operators import sampling
+
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, g string").repartition(4)
+    rows = sampling.in_label_order(sampling.sample_per_label(df, "g", "id"), "g").collect()
+    assert [(r.g, r.sample_no) for r in rows] == [(g, n) for g in "ab" for n in range(1, 6)]
