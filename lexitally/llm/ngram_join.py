@@ -181,8 +181,8 @@ def _mark(batches):
 def _sets(docs: DataFrame, pairs: DataFrame, words: int, counts) -> DataFrame:
     """Ordered sets of the classes in ``pairs``, made where the texts are read.
 
-    A bitmap of fixed size tells tasks which texts to take; a few too many are taken, and
-    they drop out by key afterwards, so no text is shuffled.
+    A bitmap of fixed size tells tasks which texts to take; a few too many are taken, which
+    the join with the pairs leaves out, so no text is shuffled.
     """
     reps, _ = stage(pairs.select(F.explode(F.array("hub", "member")).alias("rep")).distinct())
     bits = np.zeros(WANTED // 64, np.uint64)
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int, counts) -> DataFrame:
         bits[row.word] = np.int64(row.bits).view(np.uint64)
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
     full = docs.mapInArrow(_full(words, counts, wanted), "rep long, grams binary")
-    return stage(full.join(reps, "rep", "left_semi"))[0]
+    return stage(full)[0]
 
 
 class Trie:
@@ -300,40 +300,45 @@ def jaccard_classes(
     speaks = classes.groupBy(F.col("rep").alias("id")).agg(F.min("which").alias("which"))
     heads = named.join(speaks, ["id", "which"]).select("id", "n", "head")
     # Dealt by n-gram once, for the count of an n-gram's classes and for the join with it.
-    posts = heads.select(F.col("id").alias("rep"), "n", F.posexplode("head").alias("pos", "gram")).repartition("gram")
+    posts = heads.select(F.col("id").alias("rep"), "n", F.explode("head").alias("gram")).repartition("gram")
     groups = posts.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     # Postings of n-grams that several classes post: all that later steps need.
     shared, _ = stage(posts.join(groups.select("gram", "hub"), "gram"))
-    at_hub = shared.where("rep = hub").select("gram", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    at_hub = shared.where("rep = hub").select("gram", F.col("n").alias("hub_n"))
 
-    def may_link(n: str, pos: str, m: str, at: str):
-        """Sizes and what is left of both sets after the shared n-gram allow the similarity."""
-        left = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
-        return (left * (100 + percent) >= percent * (F.col(n) + F.col(m))) & (
-            percent * F.greatest(n, m) <= 100 * F.least(n, m)
+    def sizes(n: str, m: str):
+        return percent * F.greatest(n, m) <= 100 * F.least(n, m)
+
+    def enough(shared_grams: str, n: str, m: str):
+        """Whether so many n-grams in both prefixes, and all after one prefix, could reach the overlap.
+
+        Of two prefixes one ends first; shared n-grams up to there are posted by both sets.
+        """
+        rest = [F.ceil(percent * F.col(c) / 100) - 1 for c in (n, m)]
+        return (F.col(shared_grams) + F.greatest(*rest)) * (100 + percent) >= percent * (F.col(n) + F.col(m))
+
+    def pairs_of(rows: DataFrame, hub: str, member: str, n: str, m: str) -> DataFrame:
+        found = rows.groupBy(F.col(hub).alias("hub"), F.col(member).alias("member")).agg(
+            F.count(F.lit(1)).alias("c"), F.first(n).alias("n"), F.first(m).alias("m")
         )
+        return found.where(enough("c", "n", "m")).select("hub", "member")
 
-    tested, _ = stage(
-        shared.where("rep != hub").join(at_hub, "gram").where(may_link("n", "pos", "hub_n", "hub_pos"))
-        .select("hub", F.col("rep").alias("member")).distinct()
-    )
+    # A pair's n-grams may have other hubs, so some alike pairs are left to the second round.
+    near = shared.where("rep != hub").join(at_hub, "gram").where(sizes("n", "hub_n"))
+    tested, _ = stage(pairs_of(near, "hub", "rep", "hub_n", "n"))
     sets = _sets(docs, tested, words, counts)
     links, _ = stage(_links(tested, sets, percent, counts))
 
     parts = connected_components(links)
     placed = shared.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("component")
+        "gram", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     split = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     open_posts, _ = stage(placed.join(split.select("gram"), "gram"))
-    left, right = (open_posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "component")]) for s in "ab")
-    more = (
-        left.join(right, "gram")
-        .where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")))
-        .where(may_link("n_a", "pos_a", "n_b", "pos_b"))
-        .select(F.col("rep_a").alias("hub"), F.col("rep_b").alias("member")).distinct()
-        .join(tested, ["hub", "member"], "left_anti")
-    )
+    left, right = (open_posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
+    # Every n-gram that two classes of different components share is open, so counts are whole.
+    across = left.join(right, "gram").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")))
+    more = pairs_of(across.where(sizes("n_a", "n_b")), "rep_a", "rep_b", "n_a", "n_b").join(tested, ["hub", "member"], "left_anti")
     more, _ = stage(more)
     last = links.union(_links(more, _sets(docs, more, words, counts), percent, counts))
     of_rep = connected_components(last).select(F.col("id").alias("rep"), "component")
