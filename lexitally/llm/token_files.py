@@ -17,6 +17,7 @@ files, a table, holds for each file the ids of all files before it.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,11 +36,11 @@ from lexitally.session import stage, stage_path
 
 MAGIC = b"LXTOKEN1"
 DICTIONARY = "dictionary.bin"
-#: Documents that the dictionary is trained on at most, and bytes of ids taken of each.
+#: Documents that the dictionary is trained on (about), and bytes of ids taken of each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16 << 10, 64 << 10
 LEVEL = 3
-#: Runs of characters that a task remembers.
-MEMORY = 1 << 19
+#: Runs of characters, and parts of them, that a worker remembers.
+RUNS, PARTS = 250_000, 900_000
 #: Compressed bytes that a file should hold.
 FILE_BYTES = 64 << 20
 
@@ -54,56 +55,107 @@ def _tokenizer(path: str):
     return made
 
 
+#: ASCII signs that are neither letters nor digits, nor begin an ending or a special token.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
+
+
+class Known:
+    """Ids of numbered byte strings, in one growing array."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = (np.zeros(1 << 16, kind) for kind in (np.uint32, np.int64, np.int64))
+        self.used = 0
+
+    def add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, total = len(self.number), len(ids)
+        self.flat = _room(self.flat, self.used + total)
+        self.starts, self.sizes = (_room(x, first + len(new)) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + total] = ids
+        self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(new)] = sizes
+        self.number.update(zip(new, range(first, first + len(new))))
+        self.used += total
+
+    def ids(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys, one after the other, and how many each has."""
+        which = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        size = self.sizes[which]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[which] - (ends - size), size) + np.arange(total)], size
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, one call per new run of characters without white space.
+    """Ids of texts by the tokenizers library, which sees every new word once.
 
-    For tokenizers whose pieces never cross white space and that drop it. The blanks,
-    tabs and line breaks that are split at are the six of ASCII; any other white space
-    stays inside a run and is left to the library.
+    For tokenizers whose pieces never cross white space, that drop it, and whose pieces are
+    runs of letters or of other signs. A text is split at the six ASCII white spaces; any
+    other stays inside a run. A run that is letters between ASCII signs is put together
+    from these parts; every other run goes to the library as it is.
     """
 
     def __init__(self, path: str):
         self.library = _tokenizer(path)
-        self.clear()
+        self.parts, self.runs = Known(), Known()
 
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), [], []
-        self.used = 0
+    def _ask(self, new: list[bytes]) -> None:
+        """Ids of parts, all in one call; the library tells the part of each id."""
+        made = self.library.encode([x.decode() for x in new], is_pretokenized=True, add_special_tokens=False)
+        self.parts.add(new, np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(new)))
 
     def _learn(self, new: list[bytes]) -> None:
-        for run, made in zip(new, self.library.encode_batch([x.decode() for x in new], add_special_tokens=False)):
-            ids = made.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.number[run] = len(self.sizes)
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
+        parts, many = [], []
+        for run in new:
+            core = run.strip(_SIGNS)
+            if core and (core.isalpha() or _letters(core.decode())):
+                before, n = run.index(core), len(parts)
+                if before:
+                    parts.append(run[:before])
+                parts.append(core.lower())
+                if before + len(core) < len(run):
+                    parts.append(run[before + len(core) :])
+                many.append(len(parts) - n)
+            else:
+                parts.append(run)
+                many.append(1)
+        if len(self.parts.number) > PARTS:
+            self.parts = Known()
+        ask = set(parts).difference(self.parts.number)
+        if ask:
+            self._ask(list(ask))
+        ids, sizes = self.parts.ids(parts)
+        many = np.array(many, np.int64)
+        self.runs.add(new, ids, np.add.reduceat(sizes, np.cumsum(many) - many))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text."""
         runs = [t.split() for t in texts]
-        if len(self.number) > MEMORY:
-            self.clear()
-        new = {run for text in runs for run in text if run not in self.number}
+        if len(self.runs.number) > RUNS:
+            self.runs = Known()
+        new = set().union(*runs).difference(self.runs.number)
         if new:
             self._learn(list(new))
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        out = []
-        for text in runs:
-            which = np.fromiter(map(self.number.__getitem__, text), np.int64, len(text))
-            size = sizes[which]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(starts[which] - (ends - size), size) + np.arange(total)
-            out.append(self.flat[at])
-        return out
+        return [self.runs.ids(text)[0] for text in runs]
+
+
+def _letters(core: str) -> bool:
+    """Whether a text is letters, and still is once composed and lower-cased."""
+    return core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per worker, so that its next task knows the words of the last."""
+    return Encoder(path)
 
 
 def encode_texts(path: str, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     data, offsets = utf8(column)
     raw = data.tobytes()
     for lo, hi in slices(offsets):
@@ -112,8 +164,9 @@ def encode_texts(path: str, column: pa.Array, end_id: int) -> Iterator[np.ndarra
 
 
 def _train(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from the documents of the smallest id hashes, a bounded sample."""
-    rows = docs.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("text")
+    """A dictionary from a bounded sample of documents, by a hash of the id."""
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    rows = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_ROWS).select("text")
 
     def run(batches):
         for batch in batches:
