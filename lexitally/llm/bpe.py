@@ -10,6 +10,7 @@ merged by the tokenizer's rules, so ids are exact for every text.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 from lexitally.llm.common import slices, utf8
 
 #: Words of the lexicon at most; a bound of what is collected and broadcast.
-LEXICON = 1 << 17
-#: Words that a task remembers.
-MEMORY = 1 << 19
+LEXICON = 1 << 18
+#: Words that a worker remembers.
+MEMORY = 700_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -133,57 +134,59 @@ class Merges:
         for i, piece in self.piece.items():
             if len(piece) == 1:
                 self.of_byte[piece[0]] = i
-        self.rules = {}
+        # Rank of a pair, two ids as one number, and the id that it becomes.
+        self.rank, self.made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rules[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.by_name = {str(i): piece for i, piece in self.piece.items()}
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the pair of lowest rank is merged, the leftmost first, until none is left."""
         ids = [self.of_byte[b] for b in word.encode("utf-8", "surrogatepass")]
-        rules = self.rules
-        if len(ids) > 64:
+        if len(ids) > 256:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                rule = rules.get((ids[k], ids[k + 1]))
-                if rule is not None and (best is None or rule < best):
-                    best, at = rule, k
-            if best is None:
+        rank, none = self.rank.get, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            at = ranks.index(best)
+            ids[at : at + 2] = [self.made[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, for words whose pairs are too many to scan each time."""
-        import heapq
-
-        n, rules = len(ids), self.rules
+        n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = []
 
         def offer(k: int) -> None:
-            rule = rules.get((ids[k], ids[right[k]])) if right[k] >= 0 else None
-            if rule is not None:
-                heap.append((rule[0], k, ids[k], ids[right[k]], rule[1]))
+            if k >= 0 and right[k] >= 0:
+                pair = ids[k] << 32 | ids[right[k]]
+                if pair in self.rank:
+                    heapq.heappush(heap, (self.rank[pair], k, pair))
 
         for k in range(n):
             offer(k)
-        heapq.heapify(heap)
         gone = [False] * n
         while heap:
-            _, k, a, b, to = heapq.heappop(heap)
+            best, k, pair = heapq.heappop(heap)
             r = right[k]
-            if gone[k] or r < 0 or ids[k] != a or ids[r] != b:
+            if gone[k] or r < 0 or ids[k] << 32 | ids[r] != pair:
                 continue
-            ids[k], gone[r], right[k] = to, True, right[r]
+            ids[k], gone[r], right[k] = self.made[best], True, right[r]
             if right[r] >= 0:
                 left[right[r]] = k
-            for j in (left[k], k):
-                if j >= 0 and right[j] >= 0 and (rule := rules.get((ids[j], ids[right[j]]))):
-                    heapq.heappush(heap, (rule[0], j, ids[j], ids[right[j]], rule[1]))
+            offer(left[k])
+            offer(k)
         return [x for x, out in zip(ids, gone) if not out]
 
 
@@ -303,15 +306,22 @@ class _Handle:
 
 
 _OPEN: dict[str, Lexicon] = {}
+_KNOWN: dict[str, dict[str, str]] = {}
 
 
 def _open_once(digest: str, block) -> Lexicon:
     if digest not in _OPEN:
         _OPEN.clear()
+        _KNOWN.clear()
         _OPEN[digest] = Lexicon(block.value)
     return _OPEN[digest]
 
 
+def _known(digest: str) -> dict[str, str]:
+    """Words met so far, with their ids written with commas; kept for a worker's next task."""
+    return _KNOWN.setdefault(digest, {})
+
+
 # --- Spark jobs --------------------------------------------------------------------------
 
 
@@ -340,7 +350,7 @@ def _count(path: str) -> Callable:
             for text in batch.column(0).to_pylist():
                 for plain, _ in _pieces(text or "", special):
                     seen.update(words(plain))
-                if len(seen) > MEMORY // 2:
+                if len(seen) > 1 << 18:
                     yield flush()
         yield flush()
 
@@ -384,11 +394,9 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> list[tup
 def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, lexicon = merges(path), handle.open()
-        memory: dict[str, str] = {}  # word to its ids, written with commas
+        memory = _known(f"{path} {handle.digest}")
 
         def learn(new: list[str]) -> None:
-            if len(memory) > MEMORY:
-                memory.clear()
             numbers = lexicon.find([w.encode("utf-8") for w in new]).tolist()
             for word, number in zip(new, numbers):
                 ids = lexicon.output(number) if number >= 0 else rules.merge(word)
