@@ -24,8 +24,8 @@ from lexitally.session import stage
 
 #: Vectors that directions and medians are fitted on at most, and queries that are audited.
 SAMPLE, AUDIT = 16_384, 96
-#: Vectors that a leaf should hold; vectors and queries of a leaf that share a task.
-LEAF, BLOCK, QUERY_BLOCK = 512, 2048, 2048
+#: Vectors that a leaf should hold; vectors, and queries, of neighbouring leaves that share a task.
+LEAF, BLOCK, QUERY_BLOCK = 512, 16_384, 4096
 
 
 class Forest:
@@ -80,22 +80,46 @@ class Forest:
             yield node + (t - 1 << self.depth)
 
 
-def _routed(forest, dim: int) -> Callable:
+def bundles_of(counts: np.ndarray, leaves_per_tree: int) -> np.ndarray:
+    """The bundle of every leaf: neighbours of one tree, up to a block of vectors together.
+
+    A query's best of a bundle leave its task, not its best of every leaf.
+    """
+    out, bundle, held = np.zeros(len(counts), np.int64), -1, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if leaf % leaves_per_tree == 0 or held + n > BLOCK:
+            bundle, held = bundle + 1, 0
+        out[leaf] = bundle
+        held += n
+    return out
+
+
+def _counted(forest, dim: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            leaf, n = np.unique(forest.value.leaves(matrix(batch.column(1), dim)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], names=["leaf", "rows"])
+
+    return run
+
+
+def _routed(forest, bundles, dim: int) -> Callable:
     def run(batches):
         for batch in batches:
-            leaves = forest.value.leaves(matrix(batch.column(1), dim)) if len(batch) else np.zeros((0, 1), np.int64)
-            lists = pa.array(list(leaves), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "vec", "leaves"])
+            leaf = forest.value.leaves(matrix(batch.column(1), dim)).ravel()
+            each = batch.take(pa.array(np.repeat(np.arange(len(batch)), forest.value.trees)))
+            cols = [*each.columns, pa.array(bundles.value[leaf]), pa.array(leaf)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "vec", "bundle", "leaf"])
 
     return run
 
 
-def _searched(forest, counts, enough: float, dim: int) -> Callable:
+def _searched(forest, counts, bundles, enough: float, dim: int) -> Callable:
     def run(batches):
         sizes = counts.value
         for batch in batches:
-            lists = []
-            for query in matrix(batch.column(1), dim):
+            rows, of, lists = [], [], []
+            for i, query in enumerate(matrix(batch.column(1), dim)):
                 met, held = [], 0
                 for leaf in forest.value.walk(query):
                     if sizes[leaf]:
@@ -103,8 +127,14 @@ def _searched(forest, counts, enough: float, dim: int) -> Callable:
                         held += int(sizes[leaf])
                     if held >= enough:
                         break
-                lists.append(met)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=["id", "vec", "leaves"])
+                met = np.sort(np.array(met, np.int64))
+                bundle, first = np.unique(bundles.value[met], return_index=True)
+                rows += [i] * len(bundle)
+                of += bundle.tolist()
+                lists += np.split(met, first[1:]) if len(met) else []
+            each = batch.take(pa.array(rows, pa.int64()))
+            cols = [*each.columns, pa.array(of, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "vec", "bundle", "leaves"])
 
     return run
 
@@ -215,21 +245,22 @@ def neighbours(
     depth = max(0, min(int(np.log2(max(1, n / LEAF))), int(np.log2(max(1, len(sample) / 16)))))
     forest = Forest(sample, norm, trees, depth, seed)
     shared = spark.sparkContext.broadcast(forest)
-    by_leaf = rows.mapInArrow(_routed(shared, dim), "id long, vec binary, leaves array<long>").withColumn("leaf", F.explode("leaves"))
     counts = np.zeros(trees << depth, np.int64)
-    per_leaf, _ = stage(by_leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")))
-    for r in per_leaf.collect():
+    for r in rows.mapInArrow(_counted(shared, dim), "leaf long, rows long").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
         counts[r["leaf"]] = r["rows"]
+    bundle = bundles_of(counts, 1 << depth)
     audit = some(queries, AUDIT, max(1, queries.count()), 2)
     held = dict(zip(audit["id"].tolist(), matrix(audit["vec"], dim)))
     truth = exact_neighbours(rows, np.array(list(held), np.int64), np.array(list(held.values())).reshape(len(held), dim), k) if held else {}
     enough = max(enough_candidates(forest, counts, held, truth, recall), float(trees * k))
-    sizes = spark.sparkContext.broadcast(counts)
-    searched = queries.mapInArrow(_searched(shared, sizes, enough, dim), "id long, vec binary, leaves array<long>")
-    searched = searched.withColumn("leaf", F.explode("leaves")).select("id", "vec", "leaf")
-    # Blocks of a leaf's rows and queries: a leaf that holds a third of all is many tasks.
-    met = searched.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("query_blocks"))
-    met = met.join(per_leaf.select("leaf", F.ceil(F.col("rows") / BLOCK).alias("row_blocks")), "leaf")
+    sizes, bundles = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(bundle)
+    searched = queries.mapInArrow(_searched(shared, sizes, bundles, enough, dim), "id long, vec binary, bundle long, leaves array<long>")
+    searched, _ = stage(searched)
+    by_leaf = rows.mapInArrow(_routed(shared, bundles, dim), "id long, vec binary, bundle long, leaf long")
+    # Blocks of a bundle's rows and queries: a leaf that holds a third of all is many tasks.
+    held = pd.DataFrame({"bundle": bundle, "rows": counts}).groupby("bundle", as_index=False).sum()
+    met = searched.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("query_blocks"))
+    met = met.join(spark.createDataFrame(held).select("bundle", F.ceil(F.col("rows") / BLOCK).alias("row_blocks")), "bundle")
 
     def numbers(upto: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
@@ -237,13 +268,25 @@ def neighbours(
     def block(of: str) -> Column:
         return F.pmod(F.xxhash64("id"), F.col(of))
 
-    by_query = searched.join(met, "leaf").select("id", "vec", "leaf", block("query_blocks").alias("q"), numbers("row_blocks").alias("b"))
-    by_row = by_leaf.join(met, "leaf").select("id", "vec", "leaf", numbers("query_blocks").alias("q"), block("row_blocks").alias("b"))
+    by_query = searched.join(met, "bundle").select("id", "vec", "leaves", "bundle", block("query_blocks").alias("q"), numbers("row_blocks").alias("b"))
+    by_row = by_leaf.join(met, "bundle").select("id", "vec", "leaf", "bundle", numbers("query_blocks").alias("q"), block("row_blocks").alias("b"))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _ranked(matrix(left["vec"], dim), left["id"].to_numpy(), matrix(right["vec"], dim), right["id"].to_numpy(), k)
-
-    found = by_query.groupBy("leaf", "q", "b").cogroup(by_row.groupBy("leaf", "q", "b")).applyInPandas(
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        q, of, x, ids = matrix(left["vec"], dim), left["id"].to_numpy(), matrix(right["vec"], dim), right["id"].to_numpy()
+        asked = pd.DataFrame({"row": np.repeat(np.arange(len(left)), left["leaves"].map(len)), "leaf": np.concatenate(left["leaves"].to_list())})
+        asked = {leaf: part.to_numpy() for leaf, part in asked.groupby("leaf")["row"]}
+        best = [
+            _ranked(q[asked[leaf]], of[asked[leaf]], x[part], ids[part], k)
+            for leaf, part in right.groupby("leaf").indices.items() if leaf in asked
+        ]
+        if not best:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        best = pd.concat(best).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return best.groupby("query_id").head(k)
+
+    found = by_query.groupBy("bundle", "q", "b").cogroup(by_row.groupBy("bundle", "q", "b")).applyInPandas(
         rank, "query_id long, vec_id long, score double"
     )
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

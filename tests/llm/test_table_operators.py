@@ -47,7 +47,7 @@ ODD = [(9000, None, 0), (9001, [0.0] * 8, 0), (9002, [None] * 8, 0), (9003, [flo
 
 
 def test_forest_finds_the_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(forest, "BLOCK", 16)
+    monkeypatch.setattr(forest, "BLOCK", 50)
     monkeypatch.setattr(forest, "QUERY_BLOCK", 4)
     monkeypatch.setattr(forest, "LEAF", 24)
     x = clustered(1, 400)
