@@ -540,7 +540,7 @@ def experiment_compare(spark, sf):
 def logreg_predictions(spark, sf):
     """Test documents with what the classifier saw of them, and whether it gave a label it knows.
 
-    The optimum itself is tested by its gradient.
+    The columns are those SQL can follow; ``logreg_labels`` has the labels themselves.
     """
     prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
     return seen_by_model(model.run_experiment(prepared, "doc_id", "lang", sums=True), prepared, "lang")
@@ -557,6 +557,25 @@ def experiment_grid(spark, sf):
     return seen_by_model(predictions, model.prepared_corpus(turns(spark, sf), "turn_id", "role"), "role")
 
 
+def experiment_labels(spark, sf):
+    """Test documents with the label every experiment of the grid gives them, and what it saw of them."""
+    rows = model.experiment_grid(langs(spark, sf), "doc_id", "lang", stopwords=QUERY_STOPWORDS, sums=True)
+    return rows.select("experiment", "doc_id", "lang", "prediction", "n_features", F.bround("weight_sum", 6).alias("weight_sum"))
+
+
+def experiment_metrics(spark, sf):
+    """The experiments compared by their predictions, best first."""
+    compared = model.compare_experiments(experiment_labels(spark, sf), [e[0] for e in EXPERIMENTS], "lang")
+    return compared.withColumns({c: F.bround(c, 9) for c in METRICS})
+
+
+def logreg_labels(spark, sf):
+    """Test documents with the label the classifier gives them, and what it saw of them."""
+    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
+    rows = model.run_experiment(prepared, "doc_id", "lang", sums=True)
+    return rows.select("doc_id", "lang", "prediction", "n_features", F.bround("weight_sum", 6).alias("weight_sum"))
+
+
 # streaming
 
 
@@ -621,3 +640,6 @@ QUERIES = {
     "distinctive_trigrams": distinctive_trigrams,
     "distinctive_by_source": distinctive_by_source,
 }
+
+#: What a classifier learned, which SQL cannot follow; tests compare with a refit.
+LEARNED = {f.__name__: f for f in (logreg_labels, experiment_labels, experiment_metrics)}
