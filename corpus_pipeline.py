@@ -21,13 +21,21 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document of the smallest id stays of every group of near copies.
+    """N-gram Jaccard join: the row of the smallest id stays of every group of near copies.
 
-    Near copies share 0.8 of their five-word shingles.
+    Near copies share 0.8 of their five-word shingles. Exactly one row stays of a group, also
+    where rows repeat under one id. Rows with a null id are rows like others, after all ids.
     """
-    groups = ngram_join.jaccard_classes(docs, words=5, percent=80)
-    first = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        numbered = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    else:
+        numbered, _ = stage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = ngram_join.jaccard_classes(numbered, "__row", words=5, percent=80).withColumnRenamed("id", "__row")
+    of_row = groups.join(numbered.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    first = of_row.groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row")
+    return numbered.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

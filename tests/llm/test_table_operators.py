@@ -303,3 +303,20 @@ def test_pipeline_of_nothing(spark):
     for _, apply in corpus_pipeline.STAGES:
         docs = apply(spark, docs, FOLDER)
         assert docs.isEmpty()
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    rows = [(4, texts[0]), (4, texts[0]), (4, texts[0]), (9, texts[0] + " end")]  # one group under a repeated id
+    rows += [(5, texts[1]), (5, texts[2])]  # one id, unlike texts
+    rows += [(None, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[5]), (2, texts[5])]
+    rows += [(None, None), (6, ""), (6, ""), (8, texts[6])]
+    docs = spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stay = corpus_pipeline.keep_one_of_alike(spark, docs, FOLDER)
+    want = [(4, texts[0]), (5, texts[1]), (5, texts[2]), (None, texts[3]), (None, texts[4]), (2, texts[5]), (None, None), (6, ""), (6, ""), (8, texts[6])]
+    assert Counter((r.doc_id, r.text) for r in stay.collect()) == Counter(want)
+    left = corpus_pipeline.cut_repeats(spark, stay, FOLDER)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(x for x in want if x[1])
