@@ -286,19 +286,32 @@ def jaccard_classes(
 
     Two rows link when ``100 * intersection >= percent * union`` of their distinct word
     n-grams; ``component_id`` is the smallest id reachable by links, itself included. A
-    null or empty text has no n-grams and links with nothing. Ids are integers; repeated
-    rows with the same id and text are rows of their own with equal results. A row whose
-    id is null takes part in nothing and gets a null component.
+    null or empty text has no n-grams and links with nothing. Ids are integers; where one
+    repeats, with the same text or another, its rows are rows of their own, and rows of
+    equal text have equal results. A row whose id is null takes part in nothing and gets a
+    null component.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if docs.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return _classes(docs, words, percent)
+    # Rows are joined by numbers of their own; the smallest id of a component names it at the end.
+    numbered, _ = stage(docs.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())))
+    found, _ = stage(_classes(numbered.select(F.col("row").alias("id"), "text"), words, percent).withColumnsRenamed({"id": "row", "component_id": "part"}))
+    of_row = found.join(numbered.where("row is not null").select("row", "id"), "row")
+    least = of_row.groupBy("part").agg(F.min("id").alias("component_id"))
+    named = of_row.join(least, "part").select("id", "n_shingles", "component_id")
+    without = found.where("row is null").select(F.col("row").alias("id"), "n_shingles", F.col("part").alias("component_id"))
+    return named.union(without)
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``jaccard_classes`` of rows whose ids are unique or null."""
+    spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(docs, words))
     rows, _ = stage(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n int, which binary, head array<long>"))
     named = rows.where("n > 0 and id is not null")
     classes = named.groupBy("which", "n").agg(F.min("id").alias("rep"))
-    # One class per id: where an id repeats with other texts, the smallest set hash speaks for it.
-    speaks = classes.groupBy(F.col("rep").alias("id")).agg(F.min("which").alias("which"))
-    heads = named.join(speaks, ["id", "which"]).select("id", "n", "head")
+    heads = named.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "head")
     # Dealt by n-gram once, for the count of an n-gram's classes and for the join with it.
     posts = heads.select(F.col("id").alias("rep"), "n", F.explode("head").alias("gram")).repartition("gram")
     groups = posts.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")

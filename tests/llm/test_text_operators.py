@@ -158,6 +158,24 @@ def test_ngram_join_on_the_given_table_and_odd_tables(spark):
     assert rows == [(-1, 2, -1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
+def test_ngram_join_of_ids_that_repeat_with_other_texts(spark):
+    """As many rows as texts, each with the smallest id of its component, as all pairs of rows give it."""
+    texts = near_copies(8, 90)
+    rng = random.Random(8)
+    ids = [rng.randrange(30) for _ in texts]
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "pq")
+    ids, texts = [*ids, 101, 101, 105, 107, 106, None], [*texts, a, b, a, a + " end", b + " end", a]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    got = Counter((r.id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs, words=4, percent=85).collect())
+    parts = jaccard_brute({k: t for k, t in enumerate(texts[:-1])}, 4, 85)
+    least = {}
+    for k, (_, part) in parts.items():
+        least[part] = min(least.get(part, ids[k]), ids[k])
+    want = Counter((ids[k], n, least[part]) for k, (n, part) in parts.items())
+    assert got == want + Counter([(None, 37, None)])
+    assert {(101, 101), (105, 101), (107, 101), (106, 101)} <= {(i, c) for i, _, c in got}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), max_size=9), max_size=8), st.sets(st.integers(0, 12), min_size=1, max_size=9), st.sampled_from([50, 80, 100]))
 def test_trie_finds_what_all_pairs_find(sets, probe, percent):
