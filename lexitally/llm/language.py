@@ -4,8 +4,9 @@ The features of a text are the byte n-grams of its letter words (a word is writt
 a mark at both ends), hashed into a fixed number of buckets. A text's vector is the mean
 of its buckets' embeddings; a linear softmax on it gives the language. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, with a temperature
-fitted on rows held out of training, and a rejection bound that keeps all but a documented
-share of those rows.
+fitted on rows held out of training, and two rejection bounds that keep all but a documented
+share of those rows: the likeliest of L languages never scores below 1 / L, so texts unlike
+all of them are known by the share of their n-grams that training never met.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lexitally.llm.common import U64, byte_codes, mix, slices, utf8
 SIZES = (2, 3)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+#: Share of unmet n-grams that is never held against a text: a few hundred rows cannot bound less.
+FEW_UNMET = 0.1
 
 _CODES = byte_codes(6)
 # Upper-case ASCII counts as lower-case; ASCII other than letters separates words. Bytes above
@@ -84,23 +87,31 @@ def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 @dataclass
 class LanguageModel:
-    """Scores of every bucket per language, a temperature and the rejection bound."""
+    """Scores of every bucket per language, a temperature and the rejection bounds."""
 
     languages: list[str]
     scores: np.ndarray  # softmax weights times embeddings, languages x buckets
     bias: np.ndarray
     temperature: float
     reject_below: float
+    met: np.ndarray | None = None  # whether training met a bucket
+    most_unmet: float = 1.0
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z, n = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
+        return self.judge(data, offsets)[0]
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the languages, and the share of n-grams that training never met."""
+        z, n, unmet = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
         for which, starts in subwords(data, offsets, self.scores.shape[1]):
             n += np.diff(starts)
+            if self.met is not None:
+                unmet += _sums(~self.met[which], starts)
             for k, of_language in enumerate(self.scores):
                 z[:, k] += _sums(of_language[which], starts)
         z = (z / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True), unmet / np.maximum(n, 1)
 
 
 def train(
@@ -116,8 +127,9 @@ def train(
     """Fit embeddings and softmax by SGD; a fifth of the rows calibrates.
 
     The temperature minimises the log loss of those rows. ``reject_below`` is half the
-    probability that all but ``1 - keep`` of those that are right exceed, so that texts
-    like the labelled ones stay and only unlike ones go.
+    probability that all but ``1 - keep`` of those that are right exceed, and ``most_unmet``
+    the share of n-grams unmet in training that all but ``1 - keep`` of them stay within,
+    ``FEW_UNMET`` at least, so that texts like the labelled ones stay and unlike ones go.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -144,7 +156,10 @@ def train(
             weight -= eta * np.outer(mean, z)
             bias -= 0.1 * eta * z
             emb[ids] -= (eta * share / max(1e-6, float(share @ share)) ** 0.5)[:, None] * back
-    model = LanguageModel(languages, np.ascontiguousarray((emb @ weight).T, np.float32), bias, 1.0, 0.0)
+    met = np.zeros(buckets, bool)
+    for row in chosen:
+        met[bags[row][0]] = True
+    model = LanguageModel(languages, np.ascontiguousarray((emb @ weight).T, np.float32), bias, 1.0, 0.0, met)
     held = hold if len(hold) else order
     data, offsets = utf8(pa.array([texts[i] for i in held], pa.large_string()))
     plain = np.log(np.maximum(model.probabilities(data, offsets), 1e-30))
@@ -155,9 +170,10 @@ def train(
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(held)), y[held]]))
 
     model.temperature = min((2.0**k for k in np.arange(-4, 4.25, 0.25)), key=loss)
-    p = model.probabilities(data, offsets)
+    p, unmet = model.judge(data, offsets)
     right = p[np.arange(len(held)), y[held]][p.argmax(axis=1) == y[held]]
     model.reject_below = float(np.quantile(right, 1 - keep)) / 2 if len(right) else 0.0
+    model.most_unmet = max(FEW_UNMET, float(np.quantile(unmet, keep)))
     return model
 
 
@@ -207,13 +223,13 @@ def _predict(model: LanguageModel) -> Callable:
         for batch in batches:
             text, letters = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = utf8(text)
-            best, score = np.full(len(letters), len(model.languages)), np.zeros(len(letters))
+            best, score, unmet = np.full(len(letters), len(model.languages)), np.zeros(len(letters)), np.zeros(len(letters))
             if model.languages:
                 for lo, hi in slices(offsets, 1 << 20):
-                    p = model.probabilities(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    p, unmet[lo:hi] = model.judge(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     best[lo:hi], score[lo:hi] = p.argmax(axis=1), p.max(axis=1)
             best[~letters], score[~letters] = len(model.languages), 0.0
-            keep = letters & (score >= model.reject_below) & (best < len(model.languages))
+            keep = letters & (score >= model.reject_below) & (unmet <= model.most_unmet) & (best < len(model.languages))
             out = [*batch.columns[2:], pa.array(names[best], pa.string()), pa.array(score), pa.array(keep)]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[2:], "lang_pred", "score", "accepted"])
 
@@ -225,7 +241,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
 
     A null text, or one without a letter, is ``und`` with score 0 and not accepted, and so
     is any text if no language was learned. Other texts get the likeliest language, and
-    are accepted from the calibrated bound on. Whole texts are read. Columns of the input
+    are accepted within the calibrated bounds. Whole texts are read. Columns of the input
     called like the three results are replaced.
     """
     new = {"lang_pred", "score", "accepted"}

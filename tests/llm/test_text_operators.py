@@ -94,6 +94,20 @@ def test_language_id_of_odd_rows(spark):
     assert language.identify(docs.limit(0), model).isEmpty()
 
 
+def test_language_id_rejects_letters_of_no_learned_language(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(n)) for n in (3, 10, 40, 400)]
+    other = ["это совсем другой язык и другие слова", "αυτή είναι μια άλλη γλώσσα", "これは別の言語です", "xqzj kvwq zzxj qqkp"]
+    odd = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(letters + other)], SCHEMA)
+    for few in (["en"], ["en", "fr"], ["de", "en", "es", "fr"]):
+        of = rows.where(F.col("lang").isin(few))
+        model = language.fit(of, where=~queries.held_out())
+        assert not any(r.accepted for r in language.identify(odd, model).collect())
+        kept = [r.accepted for r in language.identify(of, model, keep=["doc_id"]).where("lang_pred != 'und'").collect()]
+        assert sum(kept) / len(kept) >= 0.99
+
+
 def test_training_rows_are_bounded_and_ids_do_not_matter(spark):
     docs = spark.createDataFrame([(i, "the of " * (i % 5 + 1), "en", "s", 1) for i in range(50)] + [(50, "les des", "fr", "s", 1), (51, "les", None, "s", 1)], SCHEMA)
     model = language.fit(docs, rows_per_label=10)
