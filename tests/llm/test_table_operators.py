@@ -121,6 +121,24 @@ def test_small_world_equals_all_pairs(spark, monkeypatch):
     assert [tuple(r) for r in small_world.near_duplicates(vectors(spark, ODD[:1])).collect()] == [(9000, 0, 9000, True)]
 
 
+def test_small_world_audits_tables_of_few_links(spark, monkeypatch):
+    """Without a link to audit, a beam that finds too little is noticed all the same."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 12))
+    far = small_world._unit(x) @ small_world._unit(x).T - 2 * np.eye(900)
+    x = x[(far < 0.9).all(axis=1)]
+    df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    widths, audit = [], small_world._audited_width
+    monkeypatch.setattr(small_world, "FIRST_WIDTH", 1)
+    monkeypatch.setattr(small_world, "_audited_width", lambda *a: widths.append(audit(*a)) or widths[-1])
+    assert all(r.kept and r.n_links == 0 for r in small_world.near_duplicates(df, shards=2).collect())
+    assert widths[0] > 1
+    monkeypatch.setattr(small_world, "AUDIT", 200)
+    pairs = [(2000 + k, (x[k] + 0.05 * rng.standard_normal(12)).tolist(), 0) for k in (10, 300, 700)]
+    rows = small_world.near_duplicates(df.union(vectors(spark, pairs)), shards=2).collect()
+    assert {(r.vec_id, r.component_id) for r in rows if r.n_links} == {(i, k) for k in (10, 300, 700) for i in (k, 2000 + k)}
+
+
 def test_small_world_widens_its_beams():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((900, 16))
