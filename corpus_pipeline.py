@@ -46,7 +46,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: nine tenths of all tokens, each document once at most."""
+    """Mixing towards target weights: nine tenths of all tokens, each document once at most.
+
+    A domain cannot give more than it holds, so the weights are approached, not reached (see README).
+    """
     return mixture.mix(docs, mix_levels(), MIX_WEIGHTS, share=(9, 10), epochs=1, seed=2).select(*docs.columns)
 
 
