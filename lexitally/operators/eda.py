@@ -118,8 +118,11 @@ def exclamations(docs: DataFrame, label: str, text: str = "text") -> DataFrame:
     )
 
 
-def word_comparison(docs: DataFrame, label: str, words: str = "words", labels: Sequence[str] | None = None) -> DataFrame:
-    """OPT-3: one row per word, its occurrences in every label of the data, or in those asked for."""
+def word_comparison(docs: DataFrame, label: str, words: str = "words", *, labels: Sequence[str] | None = None) -> DataFrame:
+    """OPT-3: one row per word, its occurrences in every label of the data, or in those asked for.
+
+    Labels of the data become columns, so there may be at most ``spark.sql.pivotMaxValues`` of them.
+    """
     if labels is not None:
         docs = docs.where(F.col(label).isin(list(labels)))
     counts = word_counts(docs, label, words)

@@ -69,7 +69,7 @@ def test_counts(spark, docs):
     assert total == len(rows)
     raw = spark.createDataFrame([("x", "a!!b!"), ("x", ""), ("y", "-")], "label string, text string")
     assert {tuple(r) for r in eda.exclamations(raw, "label").collect()} == {("x", 3, 1), ("y", 0, 0)}
-    wide = {r.word: (r.hot, r.a) for r in eda.word_comparison(df, "label", ["hot", "a"]).collect()}
+    wide = {r.word: (r.hot, r.a) for r in eda.word_comparison(df, "label", labels=["hot", "a"]).collect()}
     counts = {l: Counter(w for t in texts for w in t) for l, texts in by_label(rows).items()}
     assert wide == {w: (counts["hot"][w], counts["a"][w]) for w in wide}
 
