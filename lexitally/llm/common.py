@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.session import stage
@@ -25,6 +25,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever signs the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *new: str) -> list[Column]:
+    """All columns but those to be replaced."""
+    return [named(c) for c in df.columns if c not in new]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """An inner name like ``name`` that no column of the input has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -70,3 +70,24 @@ def mixture(domains: tuple[str, ...], weights: dict[str, dict[str, int]], share:
     times AS (SELECT d.*, (whole + CASE WHEN place <= cut THEN 1 ELSE 0 END)::BIGINT AS times
         FROM placed d LEFT JOIN cuts c ON {leaf.format(a='d', b='c')})
     SELECT doc_id, lang, source, mix_tokens, unnest(range(times))::INTEGER AS mix_epoch FROM times"""
+
+
+def fill_in_middle(seed: int, plain: int, spm: int) -> str:
+    """Cuts by code points, and the text put together again from the pieces of the output."""
+    draws = ", ".join(f"('0x' || substr(hash, {8 * k - 7}, 8))::BIGINT AS h{k}" for k in range(1, 5))
+    piece = "substr(output, 4 + {a}::BIGINT, {n}::BIGINT)"
+    p, m, s = "prefix_chars", "middle_chars", "(n - prefix_chars - middle_chars)"
+    from_psm = piece.format(a=0, n=p) + " || " + piece.format(a=f"({p} + {s} + 6)", n=m) + " || " + piece.format(a=f"({p} + 3)", n=s)
+    from_spm = piece.format(a=f"({s} + 3)", n=p) + " || " + piece.format(a=f"({p} + {s} + 6)", n=m) + " || " + piece.format(a=0, n=s)
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM documents),
+    drawn AS (SELECT doc_id, text, length(text)::BIGINT AS n, {draws} FROM docs),
+    formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {100 - plain} THEN 'plain'
+            WHEN h4 % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    pieces AS (SELECT doc_id, text, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1, n - b) AS s FROM formed),
+    made AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM pieces)
+    SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN {from_psm} ELSE {from_spm} END) AS restored_sha256 FROM made"""

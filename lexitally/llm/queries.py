@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, forest, language, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
+from lexitally.llm import bpe, forest, infill, language, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -94,6 +94,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = infill.rearrange(docs, seed=1, plain=10, spm=20).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")
+    again = infill.restored(F.col("output"), F.col("form"))
+    digest = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (again, "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
 QUERIES = {
     "op1_forest": op1_forest,
     "op2_mixture": op2_mixture,
@@ -105,10 +113,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_sharding": op10_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: Where SQL can express an operator on whole tables.
 ORACLES: dict[str, str] = {
     "op2_mixture": oracles.mixture(DOMAINS, MIX_WEIGHTS, (1, 2), 2, 2),
     "op4_url_filter": oracles.url_filter(URL_RULES),
+    "op12_fill_in_middle": oracles.fill_in_middle(1, 10, 20),
 }
