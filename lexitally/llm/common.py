@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexitally.session import stage
 
@@ -44,6 +45,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def mapped(df: DataFrame, inner: list[Column], kept: list[str], run: Callable, new: list[T.StructField]) -> DataFrame:
+    """``mapInArrow`` over inner columns and then kept ones; the result has the kept ones and then the new ones.
+
+    Kept columns travel under numbers, so no name of theirs, dots included, meets an inner one.
+    """
+    inner = [c.alias(f"in_{i}") for i, c in enumerate(inner)]
+    short = [f"kept_{i}" for i in range(len(kept))]
+    rows = df.select(*inner, *[named(c).alias(s) for c, s in zip(kept, short)])
+    fields = [T.StructField(s, df.schema[c].dataType) for c, s in zip(kept, short)]
+    fields += [T.StructField(f"new_{i}", f.dataType) for i, f in enumerate(new)]
+    out = rows.mapInArrow(run, T.StructType(fields))
+    names = [*kept, *[f.name for f in new]]
+    return out.select(*[F.col(f.name).alias(name) for f, name in zip(fields, names)])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, forest, infill, language, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
+from lexitally.llm import bpe, forest, infill, language, licences, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -94,6 +94,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: The phrases of the contract.
+LICENCE_PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
+
+
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, phrases=LICENCE_PHRASES)
+    at, base = F.col("places.word"), F.array_distinct("places.label")
+    every = F.array_union(base, F.col("spans.label"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(every), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.col("covered")).alias("score"),
+        "spans",
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = infill.rearrange(docs, seed=1, plain=10, spm=20).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")
@@ -113,6 +135,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_sharding": op10_sharding,
+    "op11_license_scan": op11_license_scan,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 

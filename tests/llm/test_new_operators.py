@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexitally.llm import infill, queries
+from lexitally.llm import infill, licences, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -68,3 +69,113 @@ def test_fill_in_middle_query_on_given_documents(spark):
         assert (r.n, r.form, r.prefix_chars, r.middle_chars) == (n, form, a, m)
         assert r.output_sha256 == sha(output)
     assert not want
+
+
+# --- licence scan
+
+
+def plain_words(text):
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
+
+
+def all_matches(ws, licence, long):
+    """Matches of every text position by comparing with every licence position, longest per position, not extendable."""
+    common = [[0] * (len(licence) + 1) for _ in range(len(ws) + 2)]
+    for i, w in enumerate(ws, 1):
+        for j, x in enumerate(licence, 1):
+            common[i][j] = common[i - 1][j - 1] + 1 if w == x else 0
+    longest = [max(row) for row in common]
+    return [
+        (i, j, longest[i])
+        for i in range(1, len(ws) + 1)
+        if longest[i] >= long and longest[i + 1] != longest[i] + 1
+        for j in range(1, len(licence) + 1)
+        if common[i][j] == longest[i]
+    ]
+
+
+def all_chains(matches, gap):
+    """Best chain ending in each match over all earlier matches, then the best ones that share none."""
+    best = []
+    for i, (te, le, n) in enumerate(matches):
+        ways = [(n, -1)]
+        for j, (tp, lp, _) in enumerate(matches):
+            shared = max(tp - te + n, lp - le + n, 0)
+            if tp < te and lp < le and shared < n and te - n + shared - tp <= gap:
+                ways.append((best[j][0] + n - shared, j))
+        best.append(max(ways, key=lambda way: (way[0], -way[1])))
+    out, used = [], set()
+    for i in sorted(range(len(matches)), key=lambda i: (-best[i][0], i)):
+        path = [i]
+        while best[path[-1]][1] >= 0:
+            path.append(best[path[-1]][1])
+        if not used & set(path):
+            used |= set(path)
+            out.append((best[i][0], matches[path[-1]][0] - matches[path[-1]][2], matches[i][0]))
+    return out
+
+
+def plain_scan(text, notices, phrases, long, gap, cover):
+    ws = plain_words(text)
+    places = [
+        (label, i) for phrase, label in phrases for n in [len(plain_words(phrase))] for i in range(len(ws)) if n and ws[i : i + n] == plain_words(phrase)
+    ]
+    spans, most = [], 0.0
+    for label, notice in notices:
+        licence = plain_words(notice)
+        for covered, first, until in all_chains(all_matches(ws, licence, long), gap):
+            most = max(most, covered / len(licence))
+            if covered >= cover * len(licence):
+                spans.append((label, first, until, covered / len(licence)))
+    return len(ws), sorted(places), sorted(spans), most
+
+
+def test_matching_statistics_and_chains_of_random_texts():
+    rng = random.Random(11)
+    for _ in range(400):
+        letters = "abcdé"[: rng.randrange(2, 6)]
+        make = lambda n: " ".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        notices = [(f"l{k}", make(rng.randrange(0, 15))) for k in range(rng.randrange(4))]
+        phrases = [(make(rng.randrange(0, 4)), f"p{k}") for k in range(rng.randrange(3))]
+        pieces = [make(rng.randrange(12)), "X? zz", *[t for _, t in notices], *[t for t, _ in phrases]]
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(6)))
+        long, gap, cover = rng.randrange(1, 4), rng.randrange(4), rng.choice([0.3, 0.6, 1.0])
+        compiled = licences.Licences(notices, phrases, long)
+        n, places, spans, most = licences.scan_text(text.encode(), compiled, gap, cover, step=rng.choice([1, 5, 1 << 20]))
+        assert (n, sorted(places), spans, most) == plain_scan(text, notices, phrases, long, gap, cover)
+
+
+def test_licence_spans_of_altered_notices(spark):
+    gpl = dict(reversed(licences.NOTICES))["gpl-3.0-or-later"]
+    texts = [None, "", "-- ?", "MIT LICENSE", f"intro {gpl} end", gpl.replace("either", "oder"), gpl[: len(gpl) // 2], "cc by cc by nc"]
+    texts += ["w\n" * 300_000 + "Apache-License", "x" * 3_000_000 + " mit license", gpl, gpl]
+    docs = frame(spark, texts).withColumns({"spans": F.lit(1), "__text": F.lit(2), "a.b": F.lit(3)})
+    got = {r.doc_id: r for r in licences.scan(docs, phrases=queries.LICENCE_PHRASES).collect()}
+    assert [len(got[i].places) for i in range(len(texts))] == [0, 0, 0, 1, 1, 1, got[6].places != [] and 1 or 0, 2, 1, 1, 1, 1]
+    assert got[0].n_words == got[1].n_words == got[2].n_words == 0 and got[0].covered == 0
+    assert [(s.label, s.covered) for s in got[4].spans] == [("gpl-3.0-or-later", 1.0)] and got[4].spans[0].first == 1
+    assert 0.9 < got[5].spans[0].covered < 1 and got[6].spans == [] and 0.3 < got[6].covered < 0.8
+    assert (got[8].places[0].word, got[9].places[0].word) == (300_000, 1) and got[10].spans == got[11].spans
+    assert (got[0]["__text"], got[0]["a.b"]) == (2, 3)
+    assert licences.scan(frame(spark, [])).isEmpty()
+    assert licences.scan(frame(spark, ["mit license"]), notices=[("x", "-")], phrases=[("?", "y")]).first().places == []
+
+
+def test_licence_query_on_given_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {d.doc_id: d.text for d in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op11_license_scan(spark, folder).collect()
+    assert len(rows) == len(texts) and sum(r.n_base for r in rows) > 20
+    for r in rows:
+        ws, places = plain_words(texts[r.doc_id]), []
+        for phrase, label in queries.LICENCE_PHRASES:
+            p = phrase.split()
+            places += [(i, label) for i in range(len(ws)) if ws[i] == p[0] and ws[i : i + len(p)] == p]
+        base = {label for _, label in places}
+        assert (r.n_words, r.n_base, r.base_labels) == (len(ws), len(places), ",".join(sorted(base)))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        if places or r.score > 0:
+            _, _, spans, most = plain_scan(texts[r.doc_id], licences.NOTICES, [], 3, 8, 0.8) if len(ws) < 2000 else (0, 0, [tuple(s) for s in r.spans], r.score)
+            assert [tuple(s) for s in r.spans] == spans and r.score == (1.0 if places else most)
+        assert r.labels == ",".join(sorted(base | {s.label for s in r.spans}))
