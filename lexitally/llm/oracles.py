@@ -91,3 +91,78 @@ def fill_in_middle(seed: int, plain: int, spm: int) -> str:
         ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM pieces)
     SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256,
         sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN {from_psm} ELSE {from_spm} END) AS restored_sha256 FROM made"""
+
+
+def crc32(ascii_text: str) -> str:
+    """The checksum bit by bit, as DuckDB has no function for it."""
+    bit = "lambda c, i: xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), {bit})"
+    codes = f"list_transform(string_split({ascii_text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), {byte}), 4294967295)"
+
+
+def conversation_repair() -> str:
+    """From every conversation's last row to its first: the cheapest repair of the rest after each last role written."""
+    turn = {"o": "u", "s": "u", "u": "a", "a": "u"}
+    line = {"u": "user:", "a": "assistant:"}
+    keeps = {"o": [("s", "s"), ("u", "u")], "s": [("u", "u")], "u": [("a", "a")], "a": [("u", "u")]}
+
+    def way(state: str, cost: str, letter: str, text: str = "''") -> str:
+        """A repair that goes on as from ``state``: cost, audit, text."""
+        return f"{{'c': {cost} + {state}.c, 'a': '{letter}' || {state}.a, 't': {text} || {state}.t}}"
+
+    def ways(state: str) -> str:
+        """All repairs that take the next row first."""
+        out = [way(state, "4", "D")]
+        for initial, to in keeps[state]:
+            kept = way(to, "late", "K", "chr(10) || role || ':' || text")
+            out.append(f"CASE WHEN stays AND initial = '{initial}' THEN {kept} END")
+        to = turn[state]
+        out.append(f"CASE WHEN stays THEN {way(to, '3 + late', 'R', f'chr(10) || {chr(39)}{line[to]}{chr(39)} || text')} END")
+        return f"list_min(list_filter([{', '.join(out)}], lambda x: x IS NOT NULL))"
+
+    def inserting(state: str, of: str) -> str:
+        """The best of going on at once, after one empty turn, and after two."""
+        one, two = turn[state], turn[turn[state]]
+        first, both = f"chr(10) || '{line[one]}'", f"chr(10) || '{line[one]}' || chr(10) || '{line[two]}'"
+        return f"list_min([{of}{state}, {way(of + one, '3', 'I', first)}, {way(of + two, '6', 'II', both)}]) AS {state}"
+
+    states = list(turn)
+    takes = ", ".join(f"{ways(x)} AS go_{x}" for x in states)
+    best = ", ".join(inserting(x, "go_") for x in states)
+    ends = {
+        "o": "{'c': 0::BIGINT, 'a': '', 't': ''}",
+        "s": "{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}",
+        "u": "{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}",
+        "a": "{'c': 0::BIGINT, 'a': '', 't': ''}",
+    }
+    blank = r"[^\x20\x09-\x0D]"
+    return rf"""
+    WITH RECURSIVE fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations),
+    kept AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM kept),
+    judged AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prior,
+        CASE WHEN NOT regexp_matches(text, '{blank}') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    steps AS (SELECT conv_id, pos, n, role, text, initial, fault NOT IN ('blank', 'duplicate') AS stays,
+        (CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END)::BIGINT AS late FROM judged),
+    solved AS (
+        SELECT conv_id, max(n) + 1 AS pos, {', '.join(f'{e} AS {x}' for x, e in ends.items())} FROM steps GROUP BY conv_id
+        UNION ALL
+        SELECT conv_id, pos, {best} FROM (
+            SELECT r.conv_id, r.pos, {takes} FROM steps r JOIN solved z ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.pos = z.pos - 1)),
+    facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+    found AS (SELECT f.*, s.o.c AS cost, s.o.a AS audit, substr(s.o.t, 2) AS repaired FROM facts f JOIN solved s
+        ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = 1),
+    every AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+        sha256(coalesce(repaired, '')) AS repaired_sha256 FROM every e LEFT JOIN found f ON e.conv_id IS NOT DISTINCT FROM f.conv_id"""

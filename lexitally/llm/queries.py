@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.llm import bpe, forest, infill, language, licences, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
+from lexitally.llm import bpe, conversations, forest, infill, language, licences, mixture, ngram_join, oracles, sharding, small_world, suffix_dedup, token_files, url_filter
 from lexitally.llm.common import table
 
 
@@ -124,6 +124,31 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The turns with faults that the checksums of their ids call for; null roles and texts become one space."""
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", some("conv_id"), some("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    rows = turns.select("conv_id", "turn", some("role").alias("role"), some("text").alias("text"), fate.alias("fate")).where("fate <> 0")
+    times = F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = conversations.repair(damaged(turns))
+    found = fixed.conversations.join(conversations.line_digests(fixed.lines), "key", "left")
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_forest": op1_forest,
     "op2_mixture": op2_mixture,
@@ -137,6 +162,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_license_scan": op11_license_scan,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Where SQL can express an operator on whole tables.
@@ -144,4 +170,5 @@ ORACLES: dict[str, str] = {
     "op2_mixture": oracles.mixture(DOMAINS, MIX_WEIGHTS, (1, 2), 2, 2),
     "op4_url_filter": oracles.url_filter(URL_RULES),
     "op12_fill_in_middle": oracles.fill_in_middle(1, 10, 20),
+    "op13_conversation_repair": oracles.conversation_repair(),
 }

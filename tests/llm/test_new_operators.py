@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
+from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexitally.llm import infill, licences, queries
+from lexitally.llm import conversations, infill, licences, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -179,3 +182,123 @@ def test_licence_query_on_given_documents(spark):
             _, _, spans, most = plain_scan(texts[r.doc_id], licences.NOTICES, [], 3, 8, 0.8) if len(ws) < 2000 else (0, 0, [tuple(s) for s in r.spans], r.score)
             assert [tuple(s) for s in r.spans] == spans and r.score == (1.0 if places else most)
         assert r.labels == ",".join(sorted(base | {s.label for s in r.spans}))
+
+
+# --- conversation repair
+
+
+def faults(rows):
+    """(role, text, fault) of rows in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        signs = re.findall(r"[^\x20\x09-\x0D]", text)
+        if not signs:
+            fault = "blank"
+        elif (role, text) in seen:
+            fault = "duplicate"
+        else:
+            fault = "" if signs[-1] in ".!?" else "truncated"
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def cheapest(rows):
+    """Cost, audit and repaired lines by trying every edit at every place."""
+    rows = tuple(faults(rows))
+    follows = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    turn = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+
+    @lru_cache(None)
+    def best(i, state, inserted):
+        ways = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+        if inserted < 3:
+            c, a, t = best(i, turn[state][0], inserted + 1)
+            ways.append((c + 3, "I" + a, (turn[state] + ":",) + t))
+        if i < len(rows):
+            role, text, fault = rows[i]
+            c, a, t = best(i + 1, state, 0)
+            ways.append((c + 4, "D" + a, t))
+            if fault not in ("blank", "duplicate"):
+                late = 3 if fault else 0
+                if role[:1] in follows[state]:
+                    c, a, t = best(i + 1, role[:1], 0)
+                    ways.append((c + late, "K" + a, (f"{role}:{text}",) + t))
+                c, a, t = best(i + 1, turn[state][0], 0)
+                ways.append((c + late + 3, "R" + a, (f"{turn[state]}:{text}",) + t))
+        return min(ways, default=(1 << 40, "", ()))
+
+    return best(0, "", 0)
+
+
+def as_wanted(rows):
+    """All numbers of a conversation from (turn, role, text) rows."""
+    rows = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest())
+    rows = sorted(rows, key=order)
+    turns = [t for t, _, _ in rows if t is not None]
+    found = [f for _, _, f in faults([r[1:] for r in rows])]
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    cost, audit, lines = cheapest([r[1:] for r in rows])
+    digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    return (gaps, found.count("blank"), found.count("duplicate"), found.count("truncated"), illegal, cost, audit, digest)
+
+
+def random_rows(rng, n):
+    roles = ["user", "assistant", "user", "assistant", "system", "u", "tool", None, ""]
+    texts = ["Yes.", "No!", "cut off", " ", "", None, "why? \n", "é.", "Yes. "]
+    own = rng.choice([roles[:4], roles[:5], roles])
+    rows = [(rng.choice([t, t, t, rng.randrange(n + 1), None]), rng.choice(own), f"{rng.choice(texts) or ''}") for t in range(n)]
+    return [(t, r, None if x == "" and rng.random() < 0.5 else (f"{t}{x}" if x.strip() and rng.random() < 0.7 else x)) for t, r, x in rows]
+
+
+def test_ranks_order_nodes_by_their_least_audits():
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        sizes = rng.integers(1, 12, rng.integers(1, 4))
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        kinds = rng.choice([0, 1, 1, 1, 2, 2, 2, 3, 5, 6, 8, 12], starts[-1])
+        cost = conversations.costs(kinds, starts, conversations.CLOSING[None].repeat(len(sizes), 0))
+        ranked = conversations.rank_paths(conversations.optimal_arcs(kinds, starts, cost, np.ones(len(sizes), bool)))
+        path, cut = conversations.lay_out(ranked, np.arange(len(ranked.letter)))
+        spelled = ["".join(conversations.LETTERS[x - 1] for x in ranked.letter[path[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+        order = {s: k for k, s in enumerate(sorted(set(spelled)))}
+        assert [order[s] for s in spelled] == ranked.rank.tolist()
+        price = {"D": 4, "I": 3, "K": 0, "R": 3}
+        late = sum(3 for s in spelled[:1] for x, k in zip([x for x in s if x != "I"], kinds) if k // 4 == 1 and x != "D")
+        assert cost[0, 0] == sum(price[x] for x in spelled[0]) + late
+
+
+@pytest.mark.parametrize("chunk, group", [(1024, 256), (3, 2), (1, 3)])
+def test_repairs_equal_trying_everything(spark, monkeypatch, chunk, group):
+    monkeypatch.setattr(conversations, "CHUNK", chunk)
+    monkeypatch.setattr(conversations, "GROUP", group)
+    rng = random.Random(chunk)
+    given = {c: random_rows(rng, rng.randrange(1, 14)) for c in [None, *range(120)]}
+    given[500] = random_rows(rng, 60)
+    rows = [(c, *r, 1, 2) for c, some in given.items() for r in some]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, `key` int, `a.b` int").repartition(4)
+    fixed = conversations.repair(table)
+    digests = {r.key: r.sha256 for r in conversations.line_digests(fixed.lines).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    got = {
+        r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, digests.get(r.key, empty))
+        for r in fixed.conversations.collect()
+    }
+    assert got == {c: as_wanted(some) for c, some in given.items()}
+    nothing = conversations.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert nothing.conversations.isEmpty() and nothing.lines.isEmpty()
+
+
+def test_repair_query_on_given_conversations(spark):
+    given = {}
+    for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect():
+        given.setdefault(r.conv_id, [])
+        fate = zlib.crc32(f"{' ' if r.conv_id is None else r.conv_id}:{' ' if r.turn is None else r.turn}".encode()) % 20
+        text = {1: "", 2: re.sub("[.!?]", "", r.text or " ")}.get(fate, r.text)
+        given[r.conv_id] += [(r.turn, "user" if fate == 4 else r.role, text)] * {0: 0, 3: 2}.get(fate, 1)
+    got = {r.conv_id: tuple(r)[1:] for r in queries.op13_conversation_repair(spark, FOLDER).collect()}
+    assert got == {c: as_wanted(rows) for c, rows in given.items()}
