@@ -80,6 +80,14 @@ def hashed_terms(docs: DataFrame, id_col: str, *args, **options) -> DataFrame:
     return with_terms(docs.repartition(id_col), *args, **options)
 
 
+def runs_of(t: Column) -> Column:
+    """The distinct values of a sorted array with their counts, as structs (``term``, ``tf``)."""
+    n = F.size(t)
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
+    return F.zip_with(starts, ends, lambda at, end: F.struct(F.get(t, at).alias("term"), (end - at).alias("tf")))
+
+
 def counted_terms(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """TXT-2: one row per document and distinct term, with its count ``tf``.
 
@@ -87,23 +95,7 @@ def counted_terms(docs: DataFrame, terms: str = "terms") -> DataFrame:
     bounded by one document and nothing is shuffled.
     """
     keep = [c for c in docs.columns if c != terms]
-    t, n = F.col("_sorted"), F.size("_sorted")
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
-    )
-    s = F.col("_starts")
-    runs = F.transform(
-        s,
-        lambda at, k: F.struct(
-            F.get(t, at).alias("term"),
-            (F.coalesce(F.get(s, k + 1), n) - at).alias("tf"),
-        ),
-    )
-    return (
-        docs.select(*keep, F.sort_array(terms).alias("_sorted"))
-        .select(*keep, "_sorted", starts.alias("_starts"))
-        .select(*keep, F.inline(runs))
-    )
+    return docs.select(*keep, F.sort_array(terms).alias("_sorted")).select(*keep, F.inline(runs_of(F.col("_sorted"))))
 
 
 @dataclass(frozen=True)
@@ -118,6 +110,8 @@ class Vocabulary:
     n_bytes: int
     n_labels: int
     sublinear: bool = False
+    #: how many numbers the terms are numbered with, if with more than there are terms
+    n_features: int | None = None
 
     def tf(self) -> Column:
         """TXT-2 or TXT-3: the raw count or its damped form."""
@@ -219,7 +213,12 @@ def document_weights(
 
     The other columns of ``docs`` and of the vocabulary are carried along.
     """
-    tfidf = known_terms(counted_terms(docs, terms), vocab, limit).withColumn("_w", vocab.tf() * F.col("idf"))
+    return weigh(counted_terms(docs, terms), vocab, id_col, limit)
+
+
+def weigh(counted: DataFrame, vocab: Vocabulary, id_col: str, limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """``document_weights`` of terms that are counted already."""
+    tfidf = known_terms(counted, vocab, limit).withColumn("_w", vocab.tf() * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return tfidf.withColumn("weight", F.col("_w") / norm).drop("_w", "idf")
 
@@ -231,25 +230,27 @@ def label_scores(
     label: str,
     terms: str = "terms",
     limit: int = MAX_BROADCAST_TERMS,
-    docs: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-10: mean weight of a term over all documents of a label, zeros included.
 
-    ``hashed`` are the documents from ``hashed_terms``. ``docs`` may be the same
-    documents without the shuffle, for the one step that can do without.
+    ``hashed`` are the documents from ``hashed_terms``.
     """
+    return score_labels(counted_terms(hashed.select(id_col, label, terms), terms), vocab, id_col, label, limit)
+
+
+def score_labels(counted: DataFrame, vocab: Vocabulary, id_col: str, label: str, limit: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """``label_scores`` of terms that are counted already, a document's in one place."""
     if fits_broadcast(vocab, limit):
-        weights = document_weights(hashed.select(id_col, label, terms), vocab, id_col, terms, limit)
-        sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("_sum"))
+        sums = weigh(counted, vocab, id_col, limit).groupBy(label, "term").agg(F.sum("weight").alias("_sum"))
     else:
-        sums = _label_sums_by_norm(hashed, hashed if docs is None else docs, vocab, id_col, label, terms, limit)
+        sums = _label_sums_by_norm(counted, vocab, id_col, label, limit)
     sizes = F.broadcast(vocab.label_sizes) if vocab.n_labels <= limit else vocab.label_sizes
     return sums.join(sizes, label).select(
         label, "term", (F.col("_sum") / F.col("n_docs")).alias("score")
     )
 
 
-def _label_sums_by_norm(hashed, docs, vocab, id_col, label, terms, limit) -> DataFrame:
+def _label_sums_by_norm(counted: DataFrame, vocab: Vocabulary, id_col: str, label: str, limit: int) -> DataFrame:
     """Sum of weights per label and term when the vocabulary is too large to broadcast.
 
     A weight is tf * idf / norm, and idf is the same for all documents, so the
@@ -258,14 +259,9 @@ def _label_sums_by_norm(hashed, docs, vocab, id_col, label, terms, limit) -> Dat
     sums. Only the postings of rare terms are ever shuffled.
     """
     w = vocab.tf() * F.col("idf")
-    norms = (
-        known_terms(counted_terms(docs.select(id_col, terms), terms), vocab, limit)
-        .groupBy(id_col)
-        .agg(F.sqrt(F.sum(w * w)).alias("_norm"))
-    )
-    with_norm = hashed.select(id_col, label, terms).join(norms.hint("shuffle_hash"), id_col)
+    norms = known_terms(counted.select(id_col, "term", "tf"), vocab, limit).groupBy(id_col).agg(F.sqrt(F.sum(w * w)).alias("_norm"))
     return (
-        counted_terms(with_norm, terms)
+        counted.join(norms.hint("shuffle_hash"), id_col)
         .groupBy(label, "term")
         .agg(F.sum(vocab.tf() / F.col("_norm")).alias("_sum"))
         .join(vocab.terms.select("term", "idf"), "term")
@@ -291,11 +287,19 @@ def tfidf_ranking(
 
     Scores that are equal to 12 places rank in the order of the term.
     """
-    docs = docs.select(id_col, label, text)
-    plain = with_terms(docs, text, ngrams, stopwords, raw)
-    vocab = fit_vocabulary(plain, label, min_df, sublinear)
-    hashed = hashed_terms(docs, id_col, text, ngrams, stopwords, raw)
-    scores = label_scores(hashed, vocab, id_col, label, limit=limit, docs=plain).where(F.col("score") > 0)
+    from lexitally.operators.term_table import Slice, term_table
+
+    part = Slice(*ngrams, bool(tuple(stopwords)), min_df)
+    table = term_table(docs, id_col, label, text, [part], stopwords, raw)
+    vocab = table.vocabularies([part], sublinear=sublinear)[0]
+    return rank_labels(table.counted(part), vocab, id_col, label, top_n, term, limit)
+
+
+def rank_labels(
+    counted: DataFrame, vocab: Vocabulary, id_col: str, label: str, top_n: int = 30, term: str = "word", limit: int = MAX_BROADCAST_TERMS
+) -> DataFrame:
+    """The top terms of every label, from counted terms and their vocabulary."""
+    scores = score_labels(counted, vocab, id_col, label, limit).where(F.col("score") > 0)
     order = [F.round("score", 12).desc(), F.col("term")]
     return rank_within(scores, label, order, top_n).select(
         label, "rank", F.col("term").alias(term), F.bround("score", 6).alias("mean_tfidf")

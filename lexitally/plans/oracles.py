@@ -138,9 +138,8 @@ def seen_by_model(key="doc_id", experiment=None, **options):
         FROM sides LEFT JOIN seen USING (id) WHERE split = 'test'"""
 
 
-TURNS = {"label": "role", "source": "conversations", "id_sql": "concat(conv_id, '-', turn)"}
 GRID = " UNION ALL ".join(
-    f"SELECT * FROM ({seen_by_model('turn_id', name, ngrams=ngrams, stopwords=without, **TURNS)})" for name, ngrams, without in EXPERIMENTS
+    f"SELECT * FROM ({seen_by_model(experiment=name, ngrams=ngrams, stopwords=without)})" for name, ngrams, without in EXPERIMENTS
 )
 
 PAGES = """pg AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS label FROM pages)"""

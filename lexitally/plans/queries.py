@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexitally.functions import routing, text
 from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
 from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf
+from lexitally.operators.term_table import Slice, term_table
 from lexitally.session import spread_single_file, stage, stage_path
 from lexitally.sources import readers, sinks
 from lexitally.streaming import ingest as streaming
@@ -346,10 +347,9 @@ def tf_sublinear(spark, sf):
 
 
 def feature_count(spark, sf):
-    counts = []
-    for name, ngrams, without in EXPERIMENTS:
-        corpus = words(spark, sf, stopwords=QUERY_STOPWORDS if without else (), ngrams=ngrams)
-        counts.append((name, tfidf.fit_vocabulary(corpus, "lang").n_terms))
+    slices = [Slice(*ngrams, without) for _, ngrams, without in EXPERIMENTS]
+    table_ = term_table(documents(spark, sf, "lang", "text"), "doc_id", "lang", slices=slices, stopwords=QUERY_STOPWORDS)
+    counts = [(name, vocab.n_terms) for (name, _, _), vocab in zip(EXPERIMENTS, table_.vocabularies(slices))]
     return spark.createDataFrame(counts, "experiment string, features long")
 
 
@@ -537,30 +537,33 @@ def experiment_compare(spark, sf):
     return compared.withColumns({c: F.bround(c, 9) for c in METRICS})
 
 
+def learned(spark, sf, experiments=EXPERIMENTS):
+    """Test documents with the label of every experiment, and what it saw of them."""
+    rows = model.experiment_grid(langs(spark, sf), "doc_id", "lang", stopwords=QUERY_STOPWORDS, experiments=experiments, sums=True)
+    return rows.withColumn("weight_sum", F.bround("weight_sum", 6))
+
+
 def logreg_predictions(spark, sf):
     """Test documents with what the classifier saw of them, and whether it gave a label it knows.
 
     The columns are those SQL can follow; ``logreg_labels`` has the labels themselves.
     """
-    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
-    return seen_by_model(model.run_experiment(prepared, "doc_id", "lang", sums=True), prepared, "lang")
+    return known_labels(learned(spark, sf, EXPERIMENTS[:1])).drop("experiment")
 
 
-def seen_by_model(predicted, prepared, label):
-    known = prepared.where("split = 'train'").select(F.col(label).alias("prediction"), F.lit(True).alias("known_label")).distinct()
-    rows = predicted.join(known, "prediction", "left").drop("prediction")
-    return rows.withColumns({"known_label": F.coalesce("known_label", F.lit(False)), "weight_sum": F.bround("weight_sum", 6)})
+def known_labels(predicted):
+    known = predicted.select("lang").distinct().select(F.col("lang").alias("prediction"), F.lit(True).alias("known_label"))
+    rows = predicted.join(F.broadcast(known), "prediction", "left").drop("prediction")
+    return rows.withColumn("known_label", F.coalesce("known_label", F.lit(False)))
 
 
 def experiment_grid(spark, sf):
-    predictions = model.experiment_grid(turns(spark, sf), "turn_id", "role", stopwords=QUERY_STOPWORDS, sums=True)
-    return seen_by_model(predictions, model.prepared_corpus(turns(spark, sf), "turn_id", "role"), "role")
+    return known_labels(learned(spark, sf))
 
 
 def experiment_labels(spark, sf):
     """Test documents with the label every experiment of the grid gives them, and what it saw of them."""
-    rows = model.experiment_grid(langs(spark, sf), "doc_id", "lang", stopwords=QUERY_STOPWORDS, sums=True)
-    return rows.select("experiment", "doc_id", "lang", "prediction", "n_features", F.bround("weight_sum", 6).alias("weight_sum"))
+    return learned(spark, sf).select("experiment", "doc_id", "lang", "prediction", "n_features", "weight_sum")
 
 
 def experiment_metrics(spark, sf):
@@ -571,9 +574,7 @@ def experiment_metrics(spark, sf):
 
 def logreg_labels(spark, sf):
     """Test documents with the label the classifier gives them, and what it saw of them."""
-    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
-    rows = model.run_experiment(prepared, "doc_id", "lang", sums=True)
-    return rows.select("doc_id", "lang", "prediction", "n_features", F.bround("weight_sum", 6).alias("weight_sum"))
+    return learned(spark, sf, EXPERIMENTS[:1]).select("doc_id", "lang", "prediction", "n_features", "weight_sum")
 
 
 # streaming

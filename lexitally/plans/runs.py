@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
 from lexitally.functions.text import whitespace_tokens
 from lexitally.operators import distinct, eda, ingest, metrics, model, tfidf
+from lexitally.operators.term_table import Slice, term_table
 from lexitally.session import stage
 from lexitally.sources import readers, sinks
 from lexitally.streaming import ingest as streaming
@@ -79,14 +80,10 @@ def rank(
     spark: SparkSession, corpus: str, out: str, top_n: int = 30, stopwords: Iterable[str] = STOPWORDS
 ) -> None:
     """TXT-7, TXT-8, TXT-9: the four rankings, as one report and per label."""
-    docs, _ = stage(load(spark, corpus))
-    for name, ngrams, without, min_df, column in RANKINGS:
-        ranked, _ = stage(
-            tfidf.tfidf_ranking(
-                docs, "doc_id", "emotion", "text", ngrams, stopwords if without else (), min_df,
-                top_n=top_n, term=column, raw=False,
-            )
-        )
+    slices = [Slice(*ngrams, without, min_df) for _, ngrams, without, min_df, _ in RANKINGS]
+    table = term_table(load(spark, corpus), "doc_id", "emotion", "text", slices, stopwords, raw=False)
+    for (name, *_, column), part, vocab in zip(RANKINGS, slices, table.vocabularies(slices)):
+        ranked, _ = stage(tfidf.rank_labels(table.counted(part), vocab, "doc_id", "emotion", top_n, column))
         sinks.write_report(ranked.orderBy("emotion", "rank"), f"{out}/{name}")
         sinks.write_report_per_label(ranked, "emotion", f"{out}/per_label/{name}")
 
