@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexitally.llm.common import U64, byte_codes, mix, slices, utf8
+from lexitally.llm.common import U64, byte_codes, mapped, mix, named, slices, utf8
 
 SIZES = (2, 3)
 BUCKETS = 1 << 16
@@ -75,13 +75,14 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets and their shares of every text."""
+    """Distinct buckets and their shares of every text, some texts at a time."""
     data, offsets = utf8(pa.array(texts, pa.large_string()))
-    parts = list(subwords(data, offsets, buckets))
     bags = []
-    for i in range(len(texts)):
-        ids, n = np.unique(np.concatenate([w[s[i] : s[i + 1]] for w, s in parts] or [np.zeros(0, int)]), return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    for lo, hi in slices(offsets):
+        parts = list(subwords(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], buckets))
+        for i in range(hi - lo):
+            ids, n = np.unique(np.concatenate([w[s[i] : s[i + 1]] for w, s in parts] or [np.zeros(0, int)]), return_counts=True)
+            bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return bags
 
 
@@ -184,37 +185,40 @@ def fit(
     label_col: str = "lang",
     where=None,
     rows_per_label: int = 600,
+    bytes_per_label: int = 8 << 20,
     **how,
 ) -> LanguageModel:
     """Train on at most ``rows_per_label`` labelled rows of each label, taken by a hash of the id.
 
-    The bound is what reaches the driver. Rows with a null label, a null text or no
-    letter are no examples. An empty table gives a model without languages.
+    The bound is what reaches the driver; rows beyond ``bytes_per_label`` bytes of whole texts go
+    too, but for a label's first row. Rows with a null label, a null text or no letter are no
+    examples. An empty table gives a model without languages.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    if where is not None:
-        rows = docs.where(where).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    rows = docs if where is None else docs.where(where)
+    rows = rows.select(
+        named(id_col).cast("string").alias("id"), named(text_col).cast("string").alias("text"), named(label_col).cast("string").alias("label")
+    )
     rows = rows.where("label is not null and text is not null").where(has_letter("text"))
     # The smallest hashes of each label: counts per hash prefix bound the rows before any text moves.
-    h = rows.select("label", F.crc32(F.coalesce("id", F.lit(""))).alias("h"))
-    step = h.groupBy("label", F.shiftrightunsigned("h", 18).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
+    h = F.crc32(F.coalesce("id", F.lit("")))
+    step = rows.groupBy("label", F.shiftrightunsigned(h, 18).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     so_far = F.sum("n").over(Window.partitionBy("label").orderBy("slot"))
     bound = step.select("label", "slot", (so_far - F.col("n")).alias("before")).where(F.col("before") < rows_per_label)
-    bound = bound.groupBy("label").agg(F.max("slot").alias("last"))
-    near = rows.withColumn("h", F.crc32(F.coalesce("id", F.lit("")))).join(bound, "label").where(
-        F.shiftrightunsigned("h", 18) <= F.col("last")
-    )
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id", "text"))
-    picked = near.withColumn("rank", rank).where(F.col("rank") <= rows_per_label).select("id", "label", "text")
+    # a row per label, as the model has: it is sent to the rows, of which only those within it are dealt by label
+    bound = F.broadcast(bound.groupBy("label").agg(F.max("slot").alias("last")))
+    near = rows.withColumn("h", h).join(bound, "label").where(F.shiftrightunsigned("h", 18) <= F.col("last"))
+    order = Window.partitionBy("label").orderBy("h", "id", "text")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_label)
+    size = F.octet_length("text").cast("long")
+    ranked = ranked.withColumn("before", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    picked = ranked.where(F.col("before").isNull() | (F.col("before") + size <= bytes_per_label)).select("id", "label", "text")
     got = sorted((r.id or "", r.label, r.text) for r in picked.collect())
     return train([t for _, _, t in got], [x for _, x, _ in got], **how)
 
 
 def has_letter(text: str):
     """Whether a text has a letter of any script; null has none."""
-    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return F.coalesce(named(text).cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
 def _predict(model: LanguageModel) -> Callable:
@@ -231,7 +235,7 @@ def _predict(model: LanguageModel) -> Callable:
             best[~letters], score[~letters] = len(model.languages), 0.0
             keep = letters & (score >= model.reject_below) & (unmet <= model.most_unmet) & (best < len(model.languages))
             out = [*batch.columns[2:], pa.array(names[best], pa.string()), pa.array(score), pa.array(keep)]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[2:], "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[2:], "new_0", "new_1", "new_2"])
 
     return run
 
@@ -244,14 +248,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     are accepted within the calibrated bounds. Whole texts are read. Columns of the input
     called like the three results are replaced.
     """
-    new = {"lang_pred", "score", "accepted"}
-    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(
-        F.col(text_col).cast("string").alias("__text"), has_letter(text_col).alias("__letters"), *names
-    )
-    fields = [docs.schema[c] for c in names] + [
-        T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("accepted", T.BooleanType()),
-    ]
-    return rows.mapInArrow(_predict(model), T.StructType(fields))
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
+    return mapped(docs, [named(text_col).cast("string"), has_letter(text_col)], names, _predict(model), new)
