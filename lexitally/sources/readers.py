@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.routing import blank_to_null
 from lexitally.functions.text import collapse_ends, is_blank, word_count
 from lexitally.session import spread_single_file
+from lexitally.sources import listing, sinks
 
 # The columns of a manifest file.
 MANIFEST_COLUMNS = ("id", "video", "emotion")
@@ -63,16 +64,38 @@ def _texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return labelled_files(files, root)
 
 
+def checked_texts(files: DataFrame) -> DataFrame:
+    """SRC-9: label, file name and content, with what is wrong with it: ``reason`` and ``byte_position``, else null.
+
+    ``files`` are those of ``labelled_files``, a read or a stream. The position counts the valid bytes before the first bad one.
+    """
+    # a replacement sign of the text itself must not be taken for one that stands for bad bytes; lengths stay
+    own = F.replace("value", F.lit("\ufffd"), F.lit("???"))
+    mended = F.make_valid_utf8(own)
+    at = F.octet_length(mended.substr(F.lit(1), F.locate("\ufffd", mended) - 1)).cast("long")
+    bad = ~F.is_valid_utf8("value")
+    return files.select(
+        "emotion", "file_name", "value", F.when(bad, "not valid UTF-8").alias("reason"), F.when(bad, at).alias("byte_position")
+    )
+
+
 def read_corpus(
-    spark: SparkSession, root: str, pattern: str = "*_processed.txt", keep_empty: bool = False
+    spark: SparkSession, root: str, pattern: str = "*_processed.txt", keep_empty: bool = False, quarantine: str | None = None
 ) -> DataFrame:
     """SRC-3, SRC-4, SRC-5: ``<root>/<label>/<file>``, one row per file, text without outer whitespace.
 
-    Blank documents are left out unless ``keep_empty``; then ``word_count`` is
-    added, as the corpus statistics need it. Files that are not UTF-8 are left
-    out; ``read_errors`` lists them. A missing directory is Spark's own error.
+    Blank documents are left out unless ``keep_empty``; then files of no bytes are there too, and
+    ``word_count`` is added, as the corpus statistics need it. Files that are not UTF-8 are left
+    out; ``read_errors`` lists them. With a ``quarantine`` path all files are read once, and
+    good and bad ones written there side by side: the result is the good part, ``read_quarantine``
+    gives the bad one. A missing directory is Spark's own error.
     """
-    files = _texts(spark, root, pattern).where(F.is_valid_utf8("value"))
+    files = _texts(spark, root, pattern)
+    if quarantine is None:
+        files = files.where(F.is_valid_utf8("value"))
+    else:
+        sinks.write_parted(checked_texts(files), quarantine)
+        files = _parted(spark, quarantine, "good")
     docs = files.select(
         F.concat_ws("/", "emotion", "file_name").alias("doc_id"),
         "emotion",
@@ -80,14 +103,26 @@ def read_corpus(
         collapse_ends(F.col("value")).alias("text"),
     )
     if keep_empty:
-        return docs.withColumn("word_count", word_count(F.col("text")))
+        empty = listing.empty_files(spark, root, pattern)
+        empty = empty.select(F.concat_ws("/", "emotion", "file_name").alias("doc_id"), "*", F.lit("").alias("text"))
+        return docs.unionByName(empty).withColumn("word_count", word_count(F.col("text")))
     return docs.where(F.col("text") != "")
 
 
 def read_errors(spark: SparkSession, root: str, pattern: str = "*_processed.txt") -> DataFrame:
-    """SRC-9: files that cannot be read as UTF-8."""
-    files = _texts(spark, root, pattern).where(~F.is_valid_utf8("value"))
-    return files.select("emotion", "file_name", F.lit("not valid UTF-8").alias("error"))
+    """SRC-9: files that cannot be read as UTF-8, and where."""
+    found = checked_texts(_texts(spark, root, pattern)).where("reason is not null")
+    return found.select("emotion", "file_name", F.col("reason").alias("error"), "byte_position")
+
+
+def _parted(spark: SparkSession, path: str, outcome: str) -> DataFrame:
+    schema = "emotion string, file_name string, value string, content binary, reason string, byte_position long, outcome string"
+    return spark.read.schema(schema).parquet(path).where(F.col("outcome") == outcome)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-9: what ``read_corpus`` set aside: label, file name, reason, byte position and the bytes."""
+    return _parted(spark, path, "bad").select("emotion", "file_name", "reason", "byte_position", "content")
 
 
 def drop_blank(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,8 +138,8 @@ def require_rows(docs: DataFrame, message: str = "no documents found") -> DataFr
 
 
 def existing_transcripts(spark: SparkSession, root: str, pattern: str = "*_raw.txt") -> DataFrame:
-    """JOIN-4: ``(emotion, video_id)`` of the raw texts present; only file names are read."""
-    files = _texts(spark, root, pattern).select("emotion", "file_name")
+    """JOIN-4: ``(emotion, video_id)`` of the raw texts present, empty ones too; only file names are read."""
+    files = listing.list_files(spark, root, pattern)
     vid = blank_to_null(F.regexp_extract("file_name", r"^(.*)_raw\.txt$", 1))
     return files.select("emotion", vid.alias("video_id"))
 

@@ -25,11 +25,31 @@ def write_report_per_label(df: DataFrame, label: str, path: str) -> None:
 
 
 def write_corpus(docs: DataFrame, path: str, label: str = "emotion", mode: str = "overwrite") -> None:
-    """SNK-3, SNK-4: documents as Parquet, one directory per label for partition pruning.
+    """SNK-3, SNK-4: documents as Parquet, one directory per label for partition pruning, in even files.
 
-    Rows are written where they are: a large label is not gathered anywhere.
+    Rows are brought together by label and a large label is cut into parts of the size that
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` names, so there are about as many files as
+    the bytes need and one more per label, and no label is gathered in one task.
     """
-    docs.write.mode(mode).partitionBy(label).parquet(path)
+    docs.hint("rebalance", F.col(label)).write.mode(mode).partitionBy(label).parquet(path)
+
+
+def write_parted(checked: DataFrame, path: str) -> None:
+    """SRC-9: good and bad texts of ``readers.checked_texts`` in one pass, ``outcome=good`` and ``outcome=bad``.
+
+    Bad content is kept as bytes, since it is no text; good content is kept as text.
+    """
+    bad = F.col("reason").isNotNull()
+    rows = checked.select(
+        "emotion",
+        "file_name",
+        F.when(~bad, F.col("value")).alias("value"),
+        F.when(bad, F.col("value").cast("binary")).alias("content"),
+        "reason",
+        "byte_position",
+        F.when(bad, "bad").otherwise("good").alias("outcome"),
+    )
+    rows.write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
 from lexitally.functions.routing import processed_name
@@ -22,22 +23,30 @@ def cleaned_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, clean_text(F.col(text)))
 
 
-def stream_texts(spark: SparkSession, root: str, pattern: str = "*_raw.txt") -> DataFrame:
+def _bounded(reader: DataStreamReader, max_bytes: int | None) -> DataStreamReader:
+    return reader if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)
+
+
+def stream_texts(spark: SparkSession, root: str, pattern: str = "*_raw.txt", max_bytes: int | None = None) -> DataFrame:
     """ING-4: a stream of ``<root>/<label>/<file>``, one row per new file.
 
+    A batch takes files of about ``max_bytes`` bytes in all (at least one file), so a backlog of any
+    size is worked off in batches that each commit, and a run that is stopped goes on after the last.
+
     As in the batch, files that are not UTF-8 are left out; ``readers.read_errors`` lists them.
     """
-    files = spark.readStream.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=pattern)
+    reader = _bounded(spark.readStream, max_bytes)
+    files = reader.text(f"{root.rstrip('/')}/*", wholetext=True, pathGlobFilter=pattern)
     return labelled_files(files, root).where(F.is_valid_utf8("value")).select(
         "emotion", processed_name(F.col("file_name")).alias("file_name"), F.col("value").alias("text")
     )
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A stream over the Parquet files of one table, a directory or a single file."""
+def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType, max_bytes: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of one table, a directory or a single file, in batches as ``stream_texts`` has them."""
     # A stream refuses the plain path of a file; a pattern that fits one name takes either.
     place = f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}]"
-    return spark.readStream.schema(schema).parquet(place)
+    return _bounded(spark.readStream, max_bytes).schema(schema).parquet(place)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, text: str = "text", partition_by: str | None = None) -> None:

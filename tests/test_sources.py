@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexitally import session
 from lexitally.operators import ingest
-from lexitally.sources import readers, sinks
+from lexitally.sources import listing, readers, sinks
 from lexitally.streaming import ingest as streaming
 
 
@@ -34,9 +34,95 @@ def test_labelled_directories(spark, corpus):
         ("Sad one+two", "SAD_001_GD_processed.txt", "sedih ½"),
     }
     kept = {r.file_name: r.word_count for r in readers.read_corpus(spark, corpus, keep_empty=True).collect()}
-    assert kept == {"JOY_001_IG_processed.txt": 2, "JOY_002_IG_processed.txt": 0, "SAD_001_GD_processed.txt": 2}
-    bad = [tuple(r)[:2] for r in readers.read_errors(spark, corpus).collect()]
-    assert bad == [("Sad one+two", "SAD_002_GD_processed.txt")]
+    assert kept == {
+        "JOY_001_IG_processed.txt": 2, "JOY_002_IG_processed.txt": 0, "JOY_003_IG_processed.txt": 0, "SAD_001_GD_processed.txt": 2,
+    }
+    bad = [tuple(r) for r in readers.read_errors(spark, corpus).collect()]
+    assert bad == [("Sad one+two", "SAD_002_GD_processed.txt", "not valid UTF-8", 0)]
+
+
+def test_listing_has_empty_files_and_sizes(spark, corpus, tmp_path):
+    got = {tuple(r) for r in listing.list_files(spark, corpus).collect()}
+    assert got == {
+        ("Joy", "JOY_001_IG_processed.txt", 12), ("Joy", "JOY_002_IG_processed.txt", 1), ("Joy", "JOY_003_IG_processed.txt", 0),
+        ("Joy", "notes.txt", 14), ("Sad one+two", "SAD_001_GD_processed.txt", 8), ("Sad one+two", "SAD_002_GD_processed.txt", 6),
+    }
+    assert listing.list_files(spark, corpus).rdd.getNumPartitions() == 2
+    assert [tuple(r) for r in listing.empty_files(spark, corpus, "*_processed.txt").collect()] == [("Joy", "JOY_003_IG_processed.txt")]
+    (tmp_path / "none").mkdir()
+    assert listing.list_files(spark, str(tmp_path / "none")).isEmpty()
+    with pytest.raises(AnalysisException):
+        listing.list_files(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_quarantine_parts_texts_in_one_pass(spark, tmp_path):
+    """Positions against Python's decoder, a text's own replacement signs included."""
+    data = {"a": b"ok", "b": b"ab\xffcd", "c": "é\ufffd".encode() + b"\xc3", "d": b"\xed\xa0\x80", "e": "\ufffd fine".encode(), "f": b"x\xe2\x82"}
+    for name, content in data.items():
+        (tmp_path / "in" / "L").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "L" / f"{name}_processed.txt").write_bytes(content)
+    out = str(tmp_path / "out")
+    good = readers.read_corpus(spark, str(tmp_path / "in"), quarantine=out)
+    assert {r.file_name[0]: r.text for r in good.collect()} == {"a": "ok", "e": "\ufffd fine"}
+    want = {}
+    for name, content in data.items():
+        try:
+            content.decode()
+        except UnicodeDecodeError as error:
+            want[name] = (error.start, content)
+    bad = readers.read_quarantine(spark, out).collect()
+    assert {r.file_name[0]: (r.byte_position, bytes(r.content)) for r in bad} == want
+    assert all(r.reason == "not valid UTF-8" and r.emotion == "L" for r in bad)
+
+
+def test_corpus_files_are_even_and_few(spark, tmp_path):
+    """A label with nearly all rows over many tasks: files by bytes and labels, not by tasks times labels."""
+    docs = spark.range(6000, numPartitions=60).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("l"), F.col("id") % 7)).otherwise("hot").alias("emotion"),
+        F.sha2(F.col("id").cast("string"), 512).alias("text"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+        sinks.write_corpus(docs, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    labels = {f.parent.name for f in files}
+    assert len(labels) == 8 and len(labels) <= len(files) <= 2 * 6000 * 140 // 200_000 + 2 * len(labels)
+    assert len([f for f in files if f.parent.name == "emotion=hot"]) >= 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6000
+
+
+def test_a_backlog_is_worked_off_in_bounded_batches(spark, tmp_path):
+    """Several batches, stopped between them and gone on with: every file once."""
+    for i in range(12):
+        (tmp_path / "raw" / "Joy").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "raw" / "Joy" / f"J_{i:03d}_raw.txt").write_text(f"Text {i}! " * 20)
+    stream = streaming.stream_texts(spark, str(tmp_path / "raw"), max_bytes=500).withColumn("doc_id", F.col("file_name"))
+    seen, stops = [], [2]
+
+    class Killed(Exception):
+        pass
+
+    def write(batch, number):
+        if number in stops:
+            stops.remove(number)
+            raise Killed
+        seen.append(number)
+        batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={number}"))
+
+    def run():
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    with pytest.raises(Exception, match="Killed"):
+        run()
+    assert seen == [0, 1]
+    run()
+    assert seen == list(range(len(seen))) and len(seen) >= 4
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.file_name for r in got) == [f"J_{i:03d}_processed.txt" for i in range(12)]
 
 
 def test_missing_and_empty(spark, tmp_path):
@@ -64,8 +150,9 @@ def test_manifest(spark, tmp_path):
 def test_existing(spark, tmp_path):
     (tmp_path / "raw" / "Joy").mkdir(parents=True)
     (tmp_path / "raw" / "Joy" / "JOY_001_IG_raw.txt").write_text("x")
+    (tmp_path / "raw" / "Joy" / "JOY_002_IG_raw.txt").write_text("")
     got = readers.existing_transcripts(spark, str(tmp_path / "raw")).collect()
-    assert [tuple(r) for r in got] == [("Joy", "JOY_001_IG")]
+    assert sorted(map(tuple, got)) == [("Joy", "JOY_001_IG"), ("Joy", "JOY_002_IG")]
 
 
 def test_reports(spark, tmp_path):

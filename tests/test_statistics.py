@@ -146,3 +146,17 @@ def test_samples_come_in_label_order(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, g string").repartition(4)
     rows = sampling.in_label_order(sampling.sample_per_label(df, "g", "id"), "g").collect()
     assert [(r.g, r.sample_no) for r in rows] == [(g, n) for g in "ab" for n in range(1, 6)]
+
+
+def test_sketches_of_batches_add_up(spark, tmp_path):
+    """Batches written one by one and merged equal one pass; the estimate is within its bound."""
+    rows = [(i, "ab"[i % 2], [f"w{(i * 37 + k) % 5000}" for k in range(30)]) for i in range(600)] + [(600, "a", []), (601, None, ["x"])]
+    docs = spark.createDataFrame(rows, "id int, label string, words array<string>").repartition(4)
+    for batch in range(3):
+        eda.vocabulary_sketches(docs.where(F.col("id") % 3 == batch), "label").write.parquet(str(tmp_path / f"batch={batch}"))
+    merged = eda.merge_sketches(spark.read.parquet(str(tmp_path)), "label")
+    got = {r.label: r.vocabulary_size for r in eda.vocabulary_estimate(merged, "label").collect()}
+    once = {r.label: r.vocabulary_size for r in eda.vocabulary_estimate(eda.vocabulary_sketches(docs, "label"), "label").collect()}
+    exact = {r.label: r.vocabulary_size for r in eda.vocabulary_size(docs, "label").collect()}
+    assert got == once and set(got) == set(exact)
+    assert all(abs(got[x] - exact[x]) <= max(1, 0.02 * exact[x]) for x in exact)
