@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexitally.llm.common import slices, utf8
+from lexitally.llm.common import mapped, named, slices, utf8, worker_memory
 
 #: Words of the lexicon at most; a bound of what is collected and broadcast.
 LEXICON = 1 << 18
@@ -306,34 +306,29 @@ class _Handle:
 
 
 _OPEN: dict[str, Lexicon] = {}
-_KNOWN: dict[str, dict[str, str]] = {}
 
 
 def _open_once(digest: str, block) -> Lexicon:
     if digest not in _OPEN:
         _OPEN.clear()
-        _KNOWN.clear()
         _OPEN[digest] = Lexicon(block.value)
     return _OPEN[digest]
 
 
-def _known(digest: str) -> dict[str, str]:
-    """Words met so far, with their ids written with commas; kept for a worker's next task."""
-    return _KNOWN.setdefault(digest, {})
-
-
 # --- Spark jobs --------------------------------------------------------------------------
 
 
 def _pieces(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None]]:
     """Plain stretches of a text, each with the special token after it."""
-    names = [s for s in special if s in text]
-    while names:
-        at, _, name = min((text.find(s), -len(s), s) for s in names)
-        yield text[:at], special[name]
-        text = text[at + len(name) :]
-        names = [s for s in names if s in text]
-    yield text, None
+    done, ahead = 0, {s: at for s in special if (at := text.find(s)) >= 0}
+    while ahead:
+        at, _, name = min((at, -len(s), s) for s, at in ahead.items())
+        yield text[done:at], special[name]
+        done = at + len(name)
+        for s in [s for s, at in ahead.items() if at < done]:
+            ahead[s] = text.find(s, done)
+        ahead = {s: at for s, at in ahead.items() if at >= 0}
+    yield text[done:], None
 
 
 def _count(path: str) -> Callable:
@@ -394,7 +389,8 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> list[tup
 def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, lexicon = merges(path), handle.open()
-        memory = _known(f"{path} {handle.digest}")
+        # words met so far, with their ids written with commas; kept for the worker's next task
+        memory = worker_memory(f"bpe {path} {handle.digest}")
 
         def learn(new: list[str]) -> None:
             numbers = lexicon.find([w.encode("utf-8") for w in new]).tolist()
@@ -403,8 +399,7 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                 memory[word] = ",".join(map(str, ids))
 
         for batch in batches:
-            names = [c for c in batch.schema.names if c != "__text"]
-            held = batch.column(batch.schema.get_field_index("__text"))
+            held = batch.column(0)
             lines, pieces = [], []
             _, offsets = utf8(held)
             for lo, hi in slices(offsets):
@@ -424,11 +419,10 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                     if decode:
                         raw = b"".join(map(rules.by_name.__getitem__, line.split(","))) if line else b""
                         pieces.append(raw.decode("utf-8", "replace"))
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols.append(pa.array(lines, pa.large_string()).cast(pa.string()))
+            cols = [*batch.columns[1:], pa.array(lines, pa.large_string()).cast(pa.string())]
             if decode:
                 cols.append(pa.array(pieces, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "ids", *["decoded"] * decode])
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[1:], *["new_0", "new_1"][: 1 + decode]])
 
     return run
 
@@ -441,13 +435,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", decode: bool = Fa
     empty text has no ids. Columns of the input called ``ids`` or ``decoded`` are replaced.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    text = docs.select(named(text_col).cast("string").alias("text"))
     block = compile_lexicon(frequent_words(text, path, most))
     handle = _Handle(hashlib.sha256(block).hexdigest(), spark.sparkContext.broadcast(block))
-    names = [c for c in docs.columns if c not in (text_col, "ids", *["decoded"] * decode)]
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
-    fields = [docs.schema[c] for c in names] + [T.StructField(c, T.StringType()) for c in ["ids", *["decoded"] * decode]]
-    return rows.mapInArrow(_encode(path, handle, decode), T.StructType(fields))
+    new = [T.StructField(c, T.StringType()) for c in ["ids", *["decoded"] * decode]]
+    kept = [c for c in docs.columns if c not in (text_col, *[f.name for f in new])]
+    return mapped(docs, [named(text_col).cast("string")], kept, _encode(path, handle, decode), new)
 
 
 def decode_ids(ids: Iterable[int], path: str) -> str:

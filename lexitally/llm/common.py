@@ -85,6 +85,20 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+_MEMORY: list = [None, {}]
+
+
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps of a task's work for the next ones.
+
+    It keeps one operator's at a time: a worker that goes on with another gives the room back.
+    """
+    if _MEMORY[0] != owner:
+        _MEMORY[1].clear()
+        _MEMORY[0] = owner
+    return _MEMORY[1]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = h ^ (h >> U64(31))

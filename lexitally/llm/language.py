@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexitally.llm.common import U64, byte_codes, mapped, mix, named, slices, utf8
+from lexitally.llm.common import U64, byte_codes, mapped, mix, named, slices, utf8, worker_memory
 
 SIZES = (2, 3)
 BUCKETS = 1 << 16
@@ -223,6 +223,7 @@ def has_letter(text: str):
 
 def _predict(model: LanguageModel) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("language")
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             text, letters = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)

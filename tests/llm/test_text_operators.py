@@ -346,3 +346,27 @@ def test_token_files_of_odd_tables(spark):
     rows = spark.createDataFrame([(None, "x"), (3, "a b"), (3, "a b"), (3, "a")], "doc_id long, text string")
     got = sorted(token_files.round_trip(rows, WORD).collect(), key=lambda r: r.start)
     assert [r.n_tokens for r in got] == [2, 2, 3, 3] and [r.start for r in got] == [0, 2, 4, 7]
+
+
+def test_clashing_and_dotted_names(spark):
+    """Language ID and BPE keep columns whatever their names are."""
+    docs = spark.createDataFrame([(i, f"some text {i}", "en" if i % 2 else "de") for i in range(30)], "doc_id long, text string, lang string")
+    odd = docs.withColumns({"__text": F.lit(1), "__letters": F.lit(2), "a.b": F.col("doc_id"), "in_0": F.lit(4), "ids": F.lit(5)})
+    model = language.fit(odd, epochs=1)
+    found = language.identify(odd, model).collect()
+    assert sorted(r["a.b"] for r in found) == list(range(30)) and {(r["__text"], r["__letters"], r["in_0"]) for r in found} == {(1, 2, 4)}
+    coded = bpe.encode(odd, BYTE, decode=True).collect()
+    assert all(r.decoded == f"some text {r['a.b']}" and r["__text"] == 1 and r["in_0"] == 4 for r in coded)
+
+
+def test_language_sample_is_bounded_in_bytes(spark):
+    """Whole texts up to the bound, a label's first row in any case; a fit on them does not fail."""
+    docs = spark.createDataFrame([(i, "wort " * 2000, "de") for i in range(8)] + [(9, "word", "en")], "doc_id long, text string, lang string")
+    model = language.fit(docs, bytes_per_label=25_000)
+    assert model.languages == ["de", "en"]
+
+
+def test_special_tokens_in_any_number():
+    special = {"<|a|>": 1, "<|ab|>": 2, "|>": 3}
+    text = "x<|ab|>" + "<|a|>|>y" * 3
+    assert list(bpe._pieces(text, special)) == [("x", 2), ("", 1), ("", 3), ("y", 1), ("", 3), ("y", 1), ("", 3), ("y", None)]
