@@ -30,8 +30,8 @@ from lexitally.llm.common import mapped, named, slices, utf8, worker_memory
 
 #: Words of the lexicon at most; a bound of what is collected and broadcast.
 LEXICON = 1 << 18
-#: Words that a worker remembers.
-MEMORY = 700_000
+#: Words beside those of the lexicon that a worker remembers.
+MEMORY = 150_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -390,11 +390,14 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, lexicon = merges(path), handle.open()
         # words met so far, with their ids written with commas; kept for the worker's next task
-        memory = worker_memory(f"bpe {path} {handle.digest}")
+        kept = worker_memory(f"bpe {path} {handle.digest}")
+        memory, rare = kept.setdefault("words", {}), kept.setdefault("rare", [])
 
         def learn(new: list[str]) -> None:
             numbers = lexicon.find([w.encode("utf-8") for w in new]).tolist()
             for word, number in zip(new, numbers):
+                if number < 0:
+                    rare.append(word)
                 ids = lexicon.output(number) if number >= 0 else rules.merge(word)
                 memory[word] = ",".join(map(str, ids))
 
@@ -405,8 +408,10 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
             for lo, hi in slices(offsets):
                 texts = [[(words(p), s) for p, s in _pieces(t or "", rules.special)] for t in held.slice(lo, hi - lo).to_pylist()]
                 new = {w for text in texts for ws, _ in text for w in ws}
-                if len(memory) > MEMORY:
-                    memory.clear()
+                if len(rare) > MEMORY:
+                    for word in rare:
+                        del memory[word]
+                    rare.clear()
                 learn([w for w in new if w not in memory])
                 for text in texts:
                     parts: list[str] = []

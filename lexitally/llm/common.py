@@ -96,6 +96,7 @@ def worker_memory(owner: str) -> dict:
     if _MEMORY[0] != owner:
         _MEMORY[1].clear()
         _MEMORY[0] = owner
+        pa.default_memory_pool().release_unused()
     return _MEMORY[1]
 
 
