@@ -142,6 +142,8 @@ GRID = " UNION ALL ".join(
     f"SELECT * FROM ({seen_by_model(experiment=name, ngrams=ngrams, stopwords=without)})" for name, ngrams, without in EXPERIMENTS
 )
 
+WS = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+STRIPPED = f"regexp_replace(regexp_replace(coalesce(url, ''), '^[{WS}]+', ''), '[{WS}]+$', '')"
 PAGES = """pg AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS label FROM pages)"""
 HOST = "lower(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//(?:[^/?#]*@)?([^/?#:]*)', 1), ''))"
 HOST9 = "nullif(regexp_extract(url, 'https?://([^/]+)', 1), '')"
@@ -404,5 +406,24 @@ ORACLES = {
     "metrics_summary": f"WITH {RULES}, {scored('by_words')} SELECT {summary()}",
     "experiment_compare": f"""WITH {RULES}, {scored('by_words', '1')}, {scored('by_length', '2')}
         SELECT 'words' AS experiment, {summary('1')} UNION ALL SELECT 'length' AS experiment, {summary('2')}""",
+    "folder_corpus": f"""SELECT concat('label ', page_id % 7, '/', page_id, '_processed.txt') AS doc_id,
+        concat('label ', page_id % 7) AS emotion, md5({STRIPPED}) AS text_md5 FROM pages
+        WHERE page_id % 10 > 2 AND {STRIPPED} <> ''""",
+    "folder_statistics": f"""SELECT concat('label ', page_id % 7, '/', page_id, '_processed.txt') AS doc_id,
+        concat('label ', page_id % 7) AS emotion, CASE WHEN page_id % 10 IN (0, 2) THEN 0 ELSE
+        len(list_filter(string_split_regex({STRIPPED}, '[{WS}]+'), lambda x: x <> '')) END::BIGINT AS word_count
+        FROM pages WHERE page_id % 10 <> 1""",
+    "folder_quarantine": f"""SELECT concat('label ', page_id % 7) AS emotion, concat(page_id, '_processed.txt') AS file_name,
+        'not valid UTF-8' AS reason, strlen(coalesce(url, ''))::BIGINT AS byte_position, strlen(coalesce(url, ''))::BIGINT + 2 AS n_bytes
+        FROM pages WHERE page_id % 10 = 1""",
+    "folder_listing": """SELECT concat('label ', page_id % 7) AS emotion, concat(page_id, '_processed.txt') AS file_name,
+        (CASE page_id % 10 WHEN 0 THEN 0 WHEN 1 THEN strlen(coalesce(url, '')) + 2 WHEN 2 THEN 2
+            ELSE strlen(coalesce(url, '')) + 3 END)::BIGINT AS size FROM pages""",
+    "corpus_table": f"SELECT doc_id, lang, md5({clean('text')}) AS text_md5 FROM documents",
+    "report_csv": report(),
+    "distinctive_csv": f"""WITH {distinctive(**NOSTOP)} SELECT * FROM dist WHERE round(distinctiveness, 12) > 0
+        AND NOT regexp_full_match(word, '\\p{{Nd}}+') AND regexp_matches(word, '[a-zA-Z]') AND length(word) > 1""",
+    "vocabulary_merged": f"""WITH {corpus()} SELECT label AS lang, count(DISTINCT term) AS vocabulary_size, true AS within_bound
+        FROM terms GROUP BY 1""",
     "stream_clean_ingest": f"SELECT doc_id, {clean('text')} AS text, lang FROM documents",
 }

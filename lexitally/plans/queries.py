@@ -18,7 +18,7 @@ from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
 from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf
 from lexitally.operators.term_table import Slice, term_table
 from lexitally.session import spread_single_file, stage, stage_path
-from lexitally.sources import readers, sinks
+from lexitally.sources import listing, readers, sinks
 from lexitally.streaming import ingest as streaming
 
 # Common words of the four languages of ``documents``, so that removal has an effect there.
@@ -308,6 +308,18 @@ def vocabulary_size(spark, sf):
     return eda.vocabulary_size(words(spark, sf), "lang", "terms")
 
 
+def vocabulary_merged(spark, sf):
+    """AGG-6 from sketches of two batches that were written one after the other: how far off they are, at most 2 %."""
+    docs, path = words(spark, sf), stage_path(spark)
+    for batch in (0, 1):
+        eda.vocabulary_sketches(docs.where(F.col("doc_id") % 2 == batch), "lang", "terms").write.parquet(f"{path}/batch={batch}")
+    sketches = eda.merge_sketches(spark.read.schema("lang string, sketch binary").parquet(path), "lang")
+    about = eda.vocabulary_estimate(sketches, "lang").withColumnRenamed("vocabulary_size", "about")
+    exact = vocabulary_size(spark, sf)
+    close = F.abs(F.col("about") - F.col("vocabulary_size")) <= 0.02 * F.col("vocabulary_size")
+    return exact.join(about, "lang").select("lang", "vocabulary_size", close.alias("within_bound"))
+
+
 def word_counts(spark, sf):
     return eda.word_counts(words(spark, sf), "lang", "terms")
 
@@ -521,6 +533,79 @@ def class_report(spark, sf):
     return report.withColumns({c: F.bround(c, 9) for c in ("precision", "recall", "f1_score", "support")})
 
 
+# label folders
+
+
+def label_folders(spark, sf):
+    """The pages as text files in label folders: one file a page, some of no bytes, some that are no UTF-8, some blank.
+
+    Files are named and filled by the page's number and address, as SQL can follow.
+    """
+    root = stage_path(spark)
+    kind = F.col("page_id") % 10
+    html = F.coalesce("url", F.lit(""))
+    body = (
+        F.when(kind == 0, F.lit(b""))
+        .when(kind == 1, F.concat(html.cast("binary"), F.unhex(F.lit("FF20"))))
+        .when(kind == 2, F.lit(b" \n"))
+        .otherwise(F.concat(F.lit(b"  "), html.cast("binary"), F.lit(b"\n")))
+    )
+    label = F.concat(F.lit("label "), (F.col("page_id") % 7).cast("string"))
+    name = F.concat(F.col("page_id").cast("string"), F.lit("_processed.txt"))
+    files = table(spark, sf, "pages").select(label.alias("emotion"), name.alias("file_name"), body.alias("content"))
+    sinks.write_files(files, root)
+    return root
+
+
+def folder_corpus(spark, sf):
+    """SRC-3, SRC-9: the good and non-blank texts of label folders, read in one pass with the others set aside."""
+    docs = readers.read_corpus(spark, label_folders(spark, sf), quarantine=stage_path(spark))
+    return docs.select("doc_id", "emotion", F.md5("text").alias("text_md5"))
+
+
+def folder_statistics(spark, sf):
+    """SRC-4, SNK-4: all good files, those of no bytes too, with their words."""
+    return readers.read_corpus(spark, label_folders(spark, sf), keep_empty=True).select("doc_id", "emotion", "word_count")
+
+
+def folder_quarantine(spark, sf):
+    """SRC-9: files that are no UTF-8, and where; what both sides hold adds up to all files."""
+    out = stage_path(spark)
+    root = label_folders(spark, sf)
+    readers.read_corpus(spark, root, quarantine=out)
+    bad = readers.read_quarantine(spark, out)
+    return bad.select("emotion", "file_name", "reason", "byte_position", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def folder_listing(spark, sf):
+    """JOIN-4: names and sizes of all files, without their content."""
+    return listing.list_files(spark, label_folders(spark, sf), "*_processed.txt")
+
+
+def corpus_table(spark, sf):
+    """SRC-5, ING-5, SNK-3: cleaned documents written by label and read back."""
+    path = stage_path(spark)
+    docs = streaming.cleaned_documents(langs(spark, sf))
+    sinks.write_corpus(docs, path, "lang")
+    back = spark.read.schema("doc_id long, text string, lang string").parquet(path)
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def report_csv(spark, sf):
+    """SNK-6: the class report written as CSV and read back."""
+    path = stage_path(spark)
+    sinks.write_report(class_report(spark, sf), path)
+    return readers.read_results(spark, path, "label string, precision double, recall double, f1_score double, support double")
+
+
+def distinctive_csv(spark, sf):
+    """SNK-5: the filtered distinctive words written as CSV and read back."""
+    path = stage_path(spark)
+    found = distinctive_filtered(spark, sf)
+    sinks.write_report(found, path)
+    return readers.read_results(spark, path, ", ".join(f"{name} {kind}" for name, kind in found.dtypes))
+
+
 METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")
 
 
@@ -619,6 +704,8 @@ QUERIES = {
         label_pivot, ranking_csv, stratified_sample, train_test_split, split_distribution, rare_labels,
         class_weights, confusion_matrix, confusion_counts, class_report, metrics_summary, experiment_compare,
         logreg_predictions, experiment_grid, stream_clean_ingest, stream_ledger,
+        folder_corpus, folder_statistics, folder_quarantine, folder_listing, corpus_table, report_csv, distinctive_csv,
+        vocabulary_merged,
     )
 } | {
     "ngrams_2": phrase_counts(2, 2),

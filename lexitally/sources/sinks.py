@@ -52,6 +52,30 @@ def write_parted(checked: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Binary ``content`` as one file each, ``<root>/<emotion>/<file_name>``: for corpora that other programs read.
+
+    A table is the better store; a file costs the file system an entry. Tasks write through
+    pyarrow's file systems, a retried one writes the same files again.
+    """
+    place = root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(place)
+        for batch in batches:
+            for label, name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                store.create_dir(f"{base}/{label}", recursive=True)
+                with store.open_output_stream(f"{base}/{label}/{name}") as out:
+                    out.write(content or b"")
+            yield batch.slice(0, 0)
+
+    files.select("emotion", "file_name", "content").mapInArrow(run, "emotion string, file_name string, content binary").write.format(
+        "noop"
+    ).mode("overwrite").save()
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """SNK-7: the status ledger of one batch, replaced as a whole, so a rerun is harmless.
 
