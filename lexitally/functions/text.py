@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The character classes that define words and white space.
 SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 URL_PATTERN = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
