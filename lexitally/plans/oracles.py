@@ -269,6 +269,36 @@ NOSTOP = {"stopwords": True}
 BIGRAMS = {"stopwords": True, "ngrams": (2, 2), "min_df": 2, "term": "phrase"}
 TRIGRAMS = {"stopwords": True, "ngrams": (3, 3), "min_df": 2, "term": "phrase"}
 
+def grown(level):
+    """CTEs of one level of a tree: rows by node, label sizes, gains of all terms, the best term of a node."""
+    n, above = level, level - 1
+    if not level:
+        placed = "SELECT id, label, 1 AS node FROM docs WHERE label IS NOT NULL"
+    else:
+        placed = f"""SELECT p.id, p.label, 2 * s.node + CASE WHEN d.term IS NULL THEN 0 ELSE 1 END AS node
+        FROM p{above} p JOIN s{above} s USING (node) LEFT JOIN d ON (d.id = p.id AND d.term = s.term)"""
+    return f"""p{n} AS ({placed}),
+    l{n} AS (SELECT node, label, count(*) AS t FROM p{n} GROUP BY ALL),
+    m{n} AS (SELECT node, CAST(sum(t) AS DOUBLE) AS mass, CAST(sum(t * t) AS DOUBLE) AS squares FROM l{n} GROUP BY node),
+    c{n} AS (SELECT node, label, term, count(*) AS a FROM p{n} JOIN d USING (id) GROUP BY ALL),
+    g{n} AS (SELECT node, term, mass, round((sum(a * a) / CAST(sum(a) AS DOUBLE)
+        + (squares + sum((t - a) * (t - a) - t * t)) / (mass - sum(a)) - squares / mass) / mass, 9) AS gain
+        FROM c{n} JOIN l{n} USING (node, label) JOIN m{n} USING (node) GROUP BY node, term, mass, squares HAVING sum(a) < mass),
+    s{n} AS (SELECT node, term, gain FROM g{n} WHERE gain > 0
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, term) = 1)"""
+
+
+def tree(depth):
+    levels = ", ".join(grown(n) for n in range(depth + 1))
+    nodes = " UNION ALL ".join(
+        f"SELECT CAST(m{n}.node AS INTEGER) AS node, s{n}.term, s{n}.gain, mass FROM m{n} LEFT JOIN s{n} USING (node)"
+        if n < depth
+        else f"SELECT CAST(node AS INTEGER), NULL, NULL, mass FROM m{n}"
+        for n in range(depth + 1)
+    )
+    return f"WITH {corpus(stopwords=True)}, d AS (SELECT DISTINCT id, term FROM terms), {levels} {nodes}"
+
+
 ORACLES = {
     "clean_text": f"SELECT doc_id, {clean(LINKED)} AS cleaned FROM documents",
     "clean_steps": f"""WITH t AS (SELECT doc_id, lower({LINKED}) AS x FROM documents)
@@ -391,6 +421,7 @@ ORACLES = {
     "experiment_grid": GRID,
     "train_test_split": f"WITH {KEPT}, {SPLIT} SELECT id AS doc_id, split FROM sides",
     "split_distribution": f"""WITH {KEPT}, {SPLIT} SELECT split, label AS lang, count(*) AS "count" FROM sides GROUP BY ALL""",
+    "tree_splits": tree(2),
     "rare_labels": f"""SELECT {HOST9} AS host, count(*) AS "count" FROM pages WHERE {HOST9} IS NOT NULL
         GROUP BY 1 HAVING count(*) < 2""",
     "class_weights": """WITH c AS (SELECT source, count(*) AS n_label FROM documents GROUP BY 1)

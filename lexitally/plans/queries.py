@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexitally.functions import routing, text
 from lexitally.functions.defaults import EXPERIMENTS, STOPWORDS
-from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf
+from lexitally.operators import distinct, eda, ingest, metrics, model, ranking, sampling, tfidf, trees
 from lexitally.operators.term_table import Slice, term_table
 from lexitally.session import spread_single_file, stage, stage_path
 from lexitally.sources import listing, readers, sinks
@@ -662,6 +662,27 @@ def logreg_labels(spark, sf):
     return learned(spark, sf, EXPERIMENTS[:1]).select("doc_id", "lang", "prediction", "n_features", "weight_sum")
 
 
+def margin_labels(spark, sf):
+    """OPT-4: test documents with the label of the largest margin of one label against the rest."""
+    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
+    return model.run_experiment(prepared, "doc_id", "lang", stopwords=QUERY_STOPWORDS, loss="squared_hinge")
+
+
+def forest_labels(spark, sf):
+    """OPT-4: test documents with the label a forest gives them."""
+    prepared = model.prepared_corpus(langs(spark, sf), "doc_id", "lang")
+    rows = prepared.select("doc_id", "lang", "split", text.remove_words(F.col("words"), QUERY_STOPWORDS).alias("terms"))
+    forest = trees.fit_forest(rows.where("split = 'train'"), "doc_id", "lang")
+    return forest.predict(rows.where("split = 'test'").drop("split"))
+
+
+def tree_splits(spark, sf):
+    """OPT-4: the nodes of one tree of two levels, of all documents and terms."""
+    rows = words(spark, sf, stopwords=QUERY_STOPWORDS)
+    tree = trees.fit_forest(rows, "doc_id", "lang", trees=1, depth=2, term_share=1, bootstrap=False, balanced=False)
+    return tree.table(spark).drop("tree")
+
+
 # streaming
 
 
@@ -705,7 +726,7 @@ QUERIES = {
         class_weights, confusion_matrix, confusion_counts, class_report, metrics_summary, experiment_compare,
         logreg_predictions, experiment_grid, stream_clean_ingest, stream_ledger,
         folder_corpus, folder_statistics, folder_quarantine, folder_listing, corpus_table, report_csv, distinctive_csv,
-        vocabulary_merged,
+        vocabulary_merged, tree_splits,
     )
 } | {
     "ngrams_2": phrase_counts(2, 2),
@@ -730,4 +751,4 @@ QUERIES = {
 }
 
 #: What a classifier learned, which SQL cannot follow; tests compare with a refit.
-LEARNED = {f.__name__: f for f in (logreg_labels, experiment_labels, experiment_metrics)}
+LEARNED = {f.__name__: f for f in (logreg_labels, experiment_labels, experiment_metrics, margin_labels, forest_labels)}
