@@ -121,6 +121,22 @@ def test_small_world_equals_all_pairs(spark, monkeypatch):
     assert [tuple(r) for r in small_world.near_duplicates(vectors(spark, ODD[:1])).collect()] == [(9000, 0, 9000, True)]
 
 
+def test_small_world_of_ids_that_repeat(spark):
+    """As many rows as vectors, whether an id repeats with the same vector or another."""
+    x = clustered(7, 80)
+    rng = random.Random(7)
+    ids = [rng.randrange(30) for _ in x] + [501, 501, 502, 503, 505, 505, 500]
+    x = [v.tolist() for v in x] + [x[0].tolist()] * 2 + [x[1].tolist(), (-x[1]).tolist(), x[0].tolist(), (-x[0]).tolist(), (-x[0]).tolist()]
+    df = vectors(spark, [*[(i, v, 0) for i, v in zip(ids, x)], (None, [1.0] * 8, 0), (501, None, 0), (506, None, 0)])
+    of_row = dedup_brute(dict(enumerate(x)), 0.9)
+    least = {}
+    for k, (_, part, _) in of_row.items():
+        least[part] = min(least.get(part, ids[k]), ids[k])
+    want = Counter((ids[k], n, least[part], ids[k] == least[part]) for k, (n, part, _) in of_row.items())
+    want += Counter([(None, 0, None, False), (501, 0, 501, True), (506, 0, 506, True)])
+    assert Counter(map(tuple, small_world.near_duplicates(df, shards=3).collect())) == want
+
+
 def test_small_world_audits_tables_of_few_links(spark, monkeypatch):
     """Without a link to audit, a beam that finds too little is noticed all the same."""
     rng = np.random.default_rng(9)
