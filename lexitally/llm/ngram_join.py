@@ -7,9 +7,12 @@
 3. Per posted n-gram, every class is compared with one hub. The hub's candidates are stored
    as a trie of their ordered sets; one traversal with the hub's set shares the overlaps of
    common beginnings and prunes subtrees whose remaining lengths cannot reach the bound.
-4. Links are joined into components. Pairs that share a posted n-gram but still lie in
-   different components are compared the same way, so no link between components is lost
-   while groups of copies never make all their pairs.
+4. Links are joined into components. Classes that share a posted n-gram but still lie in
+   different components are met where that n-gram's classes are, block by block and sorted by
+   component, so members of one component are passed over as a whole. A parity map of each
+   set bounds how far two sets differ from below; only pairs that could be alike leave the
+   block and are compared the same way. So no link between components is lost, and neither
+   groups of copies nor groups of unlike classes make rows of all their pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from lexitally.session import stage
 SLOTS = 1 << 18
 #: Bits of the map of wanted classes.
 WANTED = 1 << 24
+#: Words of 64 bits of a set's parity map.
+MAP_WORDS = 8
+#: Classes of one n-gram that are met at once, and pairs looked at together.
+MEET, PAIRS = 1024, 1 << 20
 #: Candidates of one hub that share a task; more are dealt to several.
 CHUNK = 256
 _CODES = byte_codes(9)
@@ -133,12 +140,22 @@ def _ordered(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.argsort(counts[_slot(grams)], kind="stable")]
 
 
+def parity_map(grams: np.ndarray) -> np.ndarray:
+    """For each of some hash ranges whether an odd number of the n-grams is in it, as bits.
+
+    The maps of two sets differ in at most as many bits as the sets differ in n-grams.
+    """
+    odd = np.bincount((grams >> U64(64 - 9)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(bool))
+
+
 def _prefixes(words: int, percent: int, counts) -> Callable:
     def run(batches):
         order = counts.value
         for batch, sets in _texts(batches, words):
-            n, which, heads = [], [], []
+            n, which, heads, maps = [], [], [], []
             for grams in sets:
+                maps.append(parity_map(grams).tobytes())
                 n.append(len(grams))
                 which.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
@@ -146,8 +163,8 @@ def _prefixes(words: int, percent: int, counts) -> Callable:
             edge = np.concatenate(([0], np.cumsum([len(x) for x in heads], dtype=np.int64))).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             head = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))
-            cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(which, pa.binary()), head]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "which", "head"])
+            cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(which, pa.binary()), head, pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "which", "head", "map"])
 
     return run
 
@@ -245,15 +262,18 @@ class Trie:
 
 
 def _verify(percent: int, counts) -> Callable:
+    """Members alike to the hub, of the rows of one hub and chunk; one row is the hub's own."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         order = counts.value
 
         def rank(grams: np.ndarray) -> list:
             return list(zip(order[_slot(grams)].tolist(), grams.tolist()))
 
-        probe = np.frombuffer(pdf["probe"].iloc[0], np.uint64)
-        trie = Trie([np.frombuffer(x, np.uint64) for x in pdf["grams"]], rank)
-        found = pdf["member"].to_numpy()[trie.alike(probe, percent)]
+        of_hub = pdf["of_hub"].to_numpy(bool)
+        probe = np.frombuffer(pdf["grams"][of_hub].iloc[0], np.uint64)
+        trie = Trie([np.frombuffer(x, np.uint64) for x in pdf["grams"][~of_hub]], rank)
+        found = pdf["rep"].to_numpy()[~of_hub][trie.alike(probe, percent)]
         return pd.DataFrame({"a": np.full(len(found), pdf["hub"].iloc[0]), "b": found})
 
     return run
@@ -263,20 +283,100 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, counts) -> DataFrame
     """The pairs (hub, member) that are alike, by a trie per hub and chunk of members."""
     sized = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.join(sized, "hub").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
-    members = dealt.join(sets.withColumnRenamed("rep", "member"), "member").select("hub", "chunk", "member", "grams")
-    hubs = dealt.select("hub", "chunk").distinct().join(sets.select(F.col("rep").alias("hub"), F.col("grams").alias("probe")), "hub")
-    both = members.select("hub", "chunk", "member", "grams", F.lit(None).cast("binary").alias("probe")).union(
-        hubs.select("hub", "chunk", F.lit(None).cast("long"), F.lit(None).cast("binary"), "probe")
-    )
+    parts = dealt.select("hub", "chunk", F.col("member").alias("rep"), F.lit(False).alias("of_hub"))
+    hubs = dealt.select("hub", "chunk").distinct().select("hub", "chunk", F.col("hub").alias("rep"), F.lit(True).alias("of_hub"))
+    # members and hubs ask for their sets in one join
+    asked = parts.union(hubs).join(sets, "rep")
+    return asked.groupBy("hub", "chunk").applyInPandas(_verify(percent, counts), "a long, b long")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_hub = pdf["probe"].notna().to_numpy()
-        rows = pdf[~is_hub].copy()
-        rows["probe"] = [pdf["probe"][is_hub].iloc[0]] * len(rows)
-        return verify(rows)
 
-    verify = _verify(percent, counts)
-    return both.groupBy("hub", "chunk").applyInPandas(split, "a long, b long")
+def _met(percent: int, rows: list[np.ndarray], maps: np.ndarray) -> np.ndarray:
+    """Pairs of classes of different components that could be alike, of sorted rows of whole cells.
+
+    Rows are (gram, i, j, side, component, rep, n). A cell's rows of side 0 meet those of side 1,
+    or, where it has none, each other.
+    """
+    gram, i, j, side, component, rep, n = rows
+    total = len(gram)
+    edge = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    end = np.append(edge[1:], total)
+    cell = np.repeat(np.arange(len(edge)), end - edge)
+    first = end - np.add.reduceat(side, edge)  # where side 1 begins
+    alone = (first == end)[cell]
+    # Rows are in the order of cell, side and component; of a component, a key of the other side's rows.
+    part = np.unique(component, return_inverse=True)[1]
+    key = (cell * 2 + side) * (part.max() + 1) + part
+    left = np.flatnonzero(side == 0)
+    want = (cell[left] * 2 + ~alone[left]) * (part.max() + 1) + part[left]
+    own = [np.searchsorted(key, want, at) for at in ("left", "right")]
+    begin = np.where(alone[left], own[0], first[cell[left]])  # alone: only components behind the own one
+    found = [np.zeros((0, 2), np.int64)]
+    for lo, hi in ((begin, own[0]), (own[1], end[cell[left]])):
+        many = hi - lo
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(left):
+            done = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+            size = many[at:to]
+            a = np.repeat(left[at:to], size)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[at:to], size)
+            at = to
+            near = percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
+            a, b = a[near], b[near]
+            differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+            a, b = rep[a[near]], rep[b[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _across(percent: int) -> Callable:
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+                if held.num_rows < PAIRS // 64:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            cols = [held.column(k).to_numpy() for k in range(7)]
+            whole = held.num_rows
+            if batch is not None:  # the last cell may go on
+                same = np.ones(whole, bool)
+                for k in range(3):
+                    same &= cols[k] == cols[k][-1]
+                whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if not whole:
+                continue
+            data, _ = utf8(held.column(7).slice(0, whole))
+            found = _met(percent, [c[:whole].astype(np.int64) for c in cols], data.view(np.uint64).reshape(whole, MAP_WORDS))
+            held = held.slice(whole).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["hub", "member"])
+
+    return run
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _meetings(posts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (hub, member) of ``posts`` (gram, many, rep, n, component, map) that could be alike.
+
+    The classes of an n-gram are dealt to chunks; every two chunks, and each with itself, are a cell.
+    """
+    chunks = F.ceil(F.col("many") / MEET)
+    dealt = posts.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
+        "gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "component", "rep", "n", "map",
+    )
+    placed = cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "component")
+    return placed.mapInArrow(_across(percent), "hub long, member long").distinct()
 
 
 def jaccard_classes(
@@ -304,14 +404,28 @@ def jaccard_classes(
     return named.union(without)
 
 
+def _marked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows whose id is that of a class, by a bitmap of fixed size, so that the rows stay where they are.
+
+    A few copies may pass as classes of their own; they are linked with their class like any other.
+    """
+    place = F.pmod(F.xxhash64("rep"), F.lit(WANTED))
+    bits = classes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    # at most WANTED / 64 rows
+    place = F.pmod(F.xxhash64("id"), F.lit(WANTED))
+    found = rows.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(F.broadcast(bits), "word")
+    return found.where("shiftright(bits, cast(place & 63 as int)) & 1 = 1")
+
+
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``jaccard_classes`` of rows whose ids are unique or null."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(docs, words))
-    rows, _ = stage(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n int, which binary, head array<long>"))
+    rows, _ = stage(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n int, which binary, head array<long>, map binary"))
     named = rows.where("n > 0 and id is not null")
     classes = named.groupBy("which", "n").agg(F.min("id").alias("rep"))
-    heads = named.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "head")
+    heads = _marked(named, classes).select("id", "n", "head")
     # Dealt by n-gram once, for the count of an n-gram's classes and for the join with it.
     posts = heads.select(F.col("id").alias("rep"), "n", F.explode("head").alias("gram")).repartition("gram")
     groups = posts.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -346,13 +460,12 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = shared.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "gram", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    split = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    open_posts, _ = stage(placed.join(split.select("gram"), "gram"))
-    left, right = (open_posts.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component")]) for s in "ab")
-    # Every n-gram that two classes of different components share is open, so counts are whole.
-    across = left.join(right, "gram").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")))
-    more = pairs_of(across.where(sizes("n_a", "n_b")), "rep_a", "rep_b", "n_a", "n_b").join(tested, ["hub", "member"], "left_anti")
-    more, _ = stage(more)
+    ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")]
+    split = placed.groupBy("gram").agg(*ends).where("x < y").select("gram", "many")
+    # Every n-gram that two classes of different components share is open.
+    open_posts, _ = stage(placed.join(split, "gram"))
+    met = _meetings(open_posts.join(rows.select(F.col("id").alias("rep"), "map"), "rep"), percent)
+    more, _ = stage(met.join(tested, ["hub", "member"], "left_anti"))
     last = links.union(_links(more, _sets(docs, more, words, counts), percent, counts))
     of_rep = connected_components(last).select(F.col("id").alias("rep"), "component")
     found = classes.join(of_rep, "rep", "left").select("which", F.coalesce("component", "rep").alias("component"))

@@ -199,6 +199,25 @@ def test_trie_finds_what_all_pairs_find(sets, probe, percent):
     assert found == [i for i, s in enumerate(sets) if 100 * len(s & probe) >= percent * len(s | probe)]
 
 
+def test_meetings_find_every_pair_that_could_be_alike(spark, monkeypatch):
+    """Cells of few classes, against all pairs of an n-gram; only pairs whose sets differ too much are left out."""
+    monkeypatch.setattr(ngram_join, "MEET", 4)
+    rng = np.random.default_rng(5)
+    sets = {0: rng.integers(0, 1 << 63, 90, dtype=np.uint64)}
+    for k in range(1, 60):
+        old = sets[int(rng.integers(0, k))].copy()
+        old = old[int(rng.integers(0, 12)) :]
+        sets[k] = np.unique(np.append(old, rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)))
+    part = {k: int(rng.integers(0, 9)) for k in sets}
+    members = {g: sorted(rng.choice(60, int(size), replace=False).tolist()) for g, size in enumerate([2, 3, 5, 17, 60, 1, 8])}
+    rows = [(g, len(ks), k, len(sets[k]), part[k], ngram_join.parity_map(sets[k]).tobytes()) for g, ks in members.items() for k in ks]
+    posts = spark.createDataFrame(rows, "gram long, many long, rep long, n int, component long, map binary").repartition(7)
+    got = {tuple(r) for r in ngram_join._meetings(posts, 85).collect()}
+    pairs = {(a, b) for ks in members.values() for a in ks for b in ks if a < b and part[a] != part[b]}
+    alike = {(a, b) for a, b in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert alike and alike <= got <= pairs and len(got) < len(pairs)
+
+
 # --- suffix dedup
 
 
