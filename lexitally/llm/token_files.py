@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,7 +41,9 @@ DICTIONARY = "dictionary.bin"
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16 << 10, 64 << 10
 LEVEL = 3
 #: Runs of characters, and parts of them, that a worker remembers.
-RUNS, PARTS = 250_000, 900_000
+RUNS, PARTS = 400_000, 700_000
+#: Bytes of text that are split into runs at once.
+SPLIT_BYTES = 4 << 20
 #: Compressed bytes that a file should hold.
 FILE_BYTES = 64 << 20
 
@@ -60,31 +63,46 @@ _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not
 
 
 class Known:
-    """Ids of numbered byte strings, in one growing array."""
+    """Ids of numbered byte strings, in one growing array, and how often each was asked for."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = (np.zeros(1 << 16, kind) for kind in (np.uint32, np.int64, np.int64))
+        self.flat, self.starts, self.sizes, self.asked = (np.zeros(1 << 16, kind) for kind in (np.uint32, np.int64, np.int64, np.int64))
         self.used = 0
 
     def add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, total = len(self.number), len(ids)
         self.flat = _room(self.flat, self.used + total)
-        self.starts, self.sizes = (_room(x, first + len(new)) for x in (self.starts, self.sizes))
+        self.starts, self.sizes, self.asked = (_room(x, first + len(new)) for x in (self.starts, self.sizes, self.asked))
         self.flat[self.used : self.used + total] = ids
         self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + len(new)] = sizes
+        self.asked[first : first + len(new)] = 0
         self.number.update(zip(new, range(first, first + len(new))))
         self.used += total
 
-    def ids(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys, one after the other, and how many each has."""
+    def numbers(self, keys: list[bytes]) -> np.ndarray:
         which = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        self.asked[which] += 1
+        return which
+
+    def ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the numbered strings, one after the other, and how many each has."""
         size = self.sizes[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.starts[which] - (ends - size), size) + np.arange(total)], size
 
+    def oftenest(self, most: int) -> Known:
+        """What was asked for most often, at most so many strings, counts halved."""
+        n, kept = len(self.number), Known()
+        least = np.partition(self.asked[:n], n - most)[n - most] if n > most else 0
+        chosen = np.flatnonzero(self.asked[:n] > least)
+        names = list(self.number)
+        kept.add([names[k] for k in chosen.tolist()], *self.ids(chosen))
+        kept.asked[: len(chosen)] = self.asked[chosen] // 2
+        return kept
+
 
 class Encoder:
     """Ids of texts by the tokenizers library, which sees every new word once.
@@ -120,23 +138,30 @@ class Encoder:
                 parts.append(run)
                 many.append(1)
         if len(self.parts.number) > PARTS:
-            self.parts = Known()
+            self.parts = self.parts.oftenest(PARTS // 2)
         ask = set(parts).difference(self.parts.number)
         if ask:
             self._ask(list(ask))
-        ids, sizes = self.parts.ids(parts)
+        ids, sizes = self.parts.ids(self.parts.numbers(parts))
         many = np.array(many, np.int64)
         self.runs.add(new, ids, np.add.reduceat(sizes, np.cumsum(many) - many))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of every text."""
-        runs = [t.split() for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin, with the end of the last."""
+        runs = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = runs.flatten().dictionary_encode()
+        names = words.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.runs.number) > RUNS:
-            self.runs = Known()
-        new = set().union(*runs).difference(self.runs.number)
+            self.runs = self.runs.oftenest(RUNS // 2)
+        if b"" not in self.runs.number:  # what is before or after the outer white space
+            self.runs.add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        new = [x for x in names if x not in self.runs.number]
         if new:
-            self._learn(list(new))
-        return [self.runs.ids(text)[0] for text in runs]
+            self._learn(new)
+        which = self.runs.numbers(names)[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        ids, sizes = self.runs.ids(which)
+        offsets = runs.offsets.to_numpy().astype(np.int64)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]]
 
 
 def _letters(core: str) -> bool:
@@ -156,11 +181,12 @@ def _encoder(path: str) -> Encoder:
 
 def encode_texts(path: str, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     encoder = _encoder(path)
-    data, offsets = utf8(column)
-    raw = data.tobytes()
-    for lo, hi in slices(offsets):
-        for ids in encoder.encode([raw[offsets[r] : offsets[r + 1]] for r in range(lo, hi)]):
-            yield np.append(ids, np.uint32(end_id)).astype("<u4")
+    _, offsets = utf8(column)
+    column = column.fill_null("")
+    for lo, hi in slices(offsets, SPLIT_BYTES):
+        ids, at = encoder.encode(column.slice(lo, hi - lo))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
 
 
 def _train(docs: DataFrame, path: str, end_id: int) -> bytes:
@@ -238,7 +264,8 @@ def write_tokens(
     """Write token files of all rows under ``folder`` (shared) and return the list of them.
 
     A null or empty text has the end id alone. Null ids come first, as the smallest
-    long; rows that share an id follow each other by length and content.
+    long; rows that share an id follow each other by length and content. Fewer than 8
+    documents, or too few or uniform ids to train on, give an empty dictionary.
     """
     folder = uri(folder)
     system, root = fs.FileSystem.from_uri(folder)
