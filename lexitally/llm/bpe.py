@@ -402,17 +402,18 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                 memory[word] = ",".join(map(str, ids))
 
         for batch in batches:
-            held = batch.column(0)
-            lines, pieces = [], []
-            _, offsets = utf8(held)
+            _, offsets = utf8(batch.column(0))
+            # results leave slice by slice, so no batch's texts, ids and pieces are held together
             for lo, hi in slices(offsets):
-                texts = [[(words(p), s) for p, s in _pieces(t or "", rules.special)] for t in held.slice(lo, hi - lo).to_pylist()]
+                held = batch.slice(lo, hi - lo)
+                texts = [[(words(p), s) for p, s in _pieces(t or "", rules.special)] for t in held.column(0).to_pylist()]
                 new = {w for text in texts for ws, _ in text for w in ws}
                 if len(rare) > MEMORY:
                     for word in rare:
                         del memory[word]
                     rare.clear()
                 learn([w for w in new if w not in memory])
+                lines, pieces = [], []
                 for text in texts:
                     parts: list[str] = []
                     for ws, special in text:
@@ -424,10 +425,10 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                     if decode:
                         raw = b"".join(map(rules.by_name.__getitem__, line.split(","))) if line else b""
                         pieces.append(raw.decode("utf-8", "replace"))
-            cols = [*batch.columns[1:], pa.array(lines, pa.large_string()).cast(pa.string())]
-            if decode:
-                cols.append(pa.array(pieces, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[1:], *["new_0", "new_1"][: 1 + decode]])
+                cols = [*held.columns[1:], pa.array(lines, pa.string())]
+                if decode:
+                    cols.append(pa.array(pieces, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[1:], *["new_0", "new_1"][: 1 + decode]])
 
     return run
 
