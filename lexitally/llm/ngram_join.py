@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import U64, byte_codes, connected_components, mix, slices, utf8
+from lexitally.llm.common import SLICE_BYTES, U64, byte_codes, connected_components, mix, slices, utf8
 from lexitally.session import stage
 
 SLOTS = 1 << 18
@@ -35,7 +35,9 @@ WANTED = 1 << 24
 #: Words of 64 bits of a set's parity map.
 MAP_WORDS = 8
 #: Classes of one n-gram that are met at once, and pairs looked at together.
-MEET, PAIRS = 1024, 1 << 20
+MEET, PAIRS = 1 << 14, 1 << 17
+#: Texts whose sets are made and sent together.
+TEXTS = 1024
 #: Candidates of one hub that share a task; more are dealt to several.
 CHUNK = 256
 _CODES = byte_codes(9)
@@ -87,11 +89,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
 
 
 def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
-    for batch in batches:
+    for batch in (large.slice(k, TEXTS) for large in batches for k in range(0, large.num_rows, TEXTS)):
         data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
 
-        def sets():
-            for lo, hi in slices(offsets):
+        def sets(data=data, offsets=offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES // 2):
                 yield from shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
 
         yield batch, sets()
@@ -338,7 +340,7 @@ def _across(percent: int) -> Callable:
             if batch is not None:
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
-                if held.num_rows < PAIRS // 64:
+                if held.num_rows < 1 << 14:
                     continue
             if held is None or not held.num_rows:
                 continue
