@@ -295,7 +295,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, counts) -> DataFrame
 def _met(percent: int, rows: list[np.ndarray], maps: np.ndarray) -> np.ndarray:
     """Pairs of classes of different components that could be alike, of sorted rows of whole cells.
 
-    Rows are (gram, i, j, side, component, rep, n). A cell's rows of side 0 meet those of side 1,
+    A row of the result is a pair, the sizes of its sets, and under how many n-grams it met. Rows are (gram, i, j, side, component, rep, n). A cell's rows of side 0 meet those of side 1,
     or, where it has none, each other.
     """
     gram, i, j, side, component, rep, n = rows
@@ -312,7 +312,7 @@ def _met(percent: int, rows: list[np.ndarray], maps: np.ndarray) -> np.ndarray:
     want = (cell[left] * 2 + ~alone[left]) * (part.max() + 1) + part[left]
     own = [np.searchsorted(key, want, at) for at in ("left", "right")]
     begin = np.where(alone[left], own[0], first[cell[left]])  # alone: only components behind the own one
-    found = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros((0, 4), np.int64)]
     for lo, hi in ((begin, own[0]), (own[1], end[cell[left]])):
         many = hi - lo
         upto = np.cumsum(many)
@@ -328,9 +328,12 @@ def _met(percent: int, rows: list[np.ndarray], maps: np.ndarray) -> np.ndarray:
             a, b = a[near], b[near]
             differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
             near = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
-            a, b = rep[a[near]], rep[b[near]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    return np.unique(np.concatenate(found), axis=0)
+            a, b = a[near], b[near]
+            turn = rep[a] > rep[b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            found.append(np.stack([rep[a], rep[b], n[a], n[b]], 1))
+    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return np.column_stack([pairs, times])
 
 
 def _across(percent: int) -> Callable:
@@ -356,7 +359,7 @@ def _across(percent: int) -> Callable:
             data, _ = utf8(held.column(7).slice(0, whole))
             found = _met(percent, [c[:whole].astype(np.int64) for c in cols], data.view(np.uint64).reshape(whole, MAP_WORDS))
             held = held.slice(whole).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["hub", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found.T], names=["hub", "member", "n", "m", "c"])
 
     return run
 
@@ -367,7 +370,7 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def _meetings(posts: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (hub, member) of ``posts`` (gram, many, rep, n, component, map) that could be alike.
+    """Pairs (hub, member, their sizes n and m, n-grams they met under c) of ``posts`` (gram, many, rep, n, component, map) that could be alike.
 
     The classes of an n-gram are dealt to chunks; every two chunks, and each with itself, are a cell.
     """
@@ -378,7 +381,8 @@ def _meetings(posts: DataFrame, percent: int) -> DataFrame:
         "component", "rep", "n", "map",
     )
     placed = cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "component")
-    return placed.mapInArrow(_across(percent), "hub long, member long").distinct()
+    met = placed.mapInArrow(_across(percent), "hub long, member long, n long, m long, c long")
+    return met.groupBy("hub", "member").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("c").alias("c"))
 
 
 def jaccard_classes(
@@ -464,9 +468,10 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
     ends = [F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")]
     split = placed.groupBy("gram").agg(*ends).where("x < y").select("gram", "many")
-    # Every n-gram that two classes of different components share is open.
+    # Every n-gram that two classes of different components share is open, so counts are whole.
     open_posts, _ = stage(placed.join(split, "gram"))
     met = _meetings(open_posts.join(rows.select(F.col("id").alias("rep"), "map"), "rep"), percent)
+    met = met.where(enough("c", "n", "m")).select("hub", "member")
     more, _ = stage(met.join(tested, ["hub", "member"], "left_anti"))
     last = links.union(_links(more, _sets(docs, more, words, counts), percent, counts))
     of_rep = connected_components(last).select(F.col("id").alias("rep"), "component")

@@ -212,7 +212,10 @@ def test_meetings_find_every_pair_that_could_be_alike(spark, monkeypatch):
     members = {g: sorted(rng.choice(60, int(size), replace=False).tolist()) for g, size in enumerate([2, 3, 5, 17, 60, 1, 8])}
     rows = [(g, len(ks), k, len(sets[k]), part[k], ngram_join.parity_map(sets[k]).tobytes()) for g, ks in members.items() for k in ks]
     posts = spark.createDataFrame(rows, "gram long, many long, rep long, n int, component long, map binary").repartition(7)
-    got = {tuple(r) for r in ngram_join._meetings(posts, 85).collect()}
+    met = ngram_join._meetings(posts, 85).collect()
+    got = {(r.hub, r.member) for r in met}
+    assert len(got) == len(met) and all((r.n, r.m) == (len(sets[r.hub]), len(sets[r.member])) for r in met)
+    assert all(r.c == sum(r.hub in ks and r.member in ks for ks in members.values()) for r in met)
     pairs = {(a, b) for ks in members.values() for a in ks for b in ks if a < b and part[a] != part[b]}
     alike = {(a, b) for a, b in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
     assert alike and alike <= got <= pairs and len(got) < len(pairs)
