@@ -49,14 +49,14 @@ def _cut(raw: bool, stopwords: Sequence[str], names: Sequence[str], block_bytes:
         inside = kept[codes]
         ends = np.concatenate(([0], np.cumsum(inside)))[ends]
         codes = (np.cumsum(kept) - 1)[codes[inside]]
-        label = pa.concat_arrays(labels)
+        label, words = pa.concat_arrays(labels), found.dictionary.filter(pa.array(kept))
         columns = {
             "block": pa.array([number], pa.int64()),
             "tokens": pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
             "ends": pa.array([ends.astype(np.int64).tobytes()], pa.binary()),
             "groups": pa.array([np.array(groups, np.int32).tobytes()], pa.binary()),
             "labels": pa.ListArray.from_arrays(pa.array([0, len(label)], pa.int32()), label),
-            "words": pa.array([found.dictionary.filter(pa.array(kept)).to_pylist()], pa.list_(pa.string())),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
         }
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names=list(names))
 
@@ -95,10 +95,7 @@ class Keys:
 
     bits: int
     longest: int
-
-    @property
-    def each(self) -> int:
-        return max(1, KEY_BITS // self.bits)
+    each: int  # words in a key
 
     @property
     def columns(self) -> int:
@@ -312,7 +309,8 @@ class PhraseBlocks:
     n_blocks: int
 
     def _keys(self, longest: int) -> Keys:
-        return Keys(max(1, self.n_words.bit_length()), longest)
+        bits = max(1, self.n_words.bit_length())
+        return Keys(bits, longest, max(1, KEY_BITS // bits))
 
     def _dealt(self) -> DataFrame:
         return self.blocks.repartition(self.n_blocks, "block")
