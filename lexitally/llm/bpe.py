@@ -389,9 +389,9 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> list[tup
 def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, lexicon = merges(path), handle.open()
-        # words met so far, with their ids written with commas; kept for the worker's next task
-        kept = worker_memory(f"bpe {path} {handle.digest}")
-        memory, rare = kept.setdefault("words", {}), kept.setdefault("rare", [])
+        # words met so far, with their ids written with commas and what these decode to; kept for the worker's next task
+        kept = worker_memory(f"bpe {path} {handle.digest} {decode}")
+        memory, decoded, rare = kept.setdefault("words", {}), kept.setdefault("decoded", {}), kept.setdefault("rare", [])
 
         def learn(new: list[str]) -> None:
             numbers = lexicon.find([w.encode("utf-8") for w in new]).tolist()
@@ -399,7 +399,10 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                 if number < 0:
                     rare.append(word)
                 ids = lexicon.output(number) if number >= 0 else rules.merge(word)
-                memory[word] = ",".join(map(str, ids))
+                names = [str(i) for i in ids]
+                memory[word] = ",".join(names)
+                if decode:
+                    decoded[word] = b"".join(map(rules.by_name.__getitem__, names))
 
         for batch in batches:
             _, offsets = utf8(batch.column(0))
@@ -411,20 +414,24 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
                 if len(rare) > MEMORY:
                     for word in rare:
                         del memory[word]
+                        decoded.pop(word, None)
                     rare.clear()
                 learn([w for w in new if w not in memory])
                 lines, pieces = [], []
                 for text in texts:
                     parts: list[str] = []
+                    raw: list[bytes] = []
                     for ws, special in text:
                         parts += map(memory.__getitem__, ws)
+                        if decode:
+                            raw += map(decoded.__getitem__, ws)
                         if special is not None:
                             parts.append(str(special))
-                    line = ",".join(parts)
-                    lines.append(line)
+                            if decode:
+                                raw.append(rules.by_name[str(special)])
+                    lines.append(",".join(parts))
                     if decode:
-                        raw = b"".join(map(rules.by_name.__getitem__, line.split(","))) if line else b""
-                        pieces.append(raw.decode("utf-8", "replace"))
+                        pieces.append(b"".join(raw).decode("utf-8", "replace"))
                 cols = [*held.columns[1:], pa.array(lines, pa.string())]
                 if decode:
                     cols.append(pa.array(pieces, pa.string()))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -392,3 +393,27 @@ def test_special_tokens_in_any_number():
     special = {"<|a|>": 1, "<|ab|>": 2, "|>": 3}
     text = "x<|ab|>" + "<|a|>|>y" * 3
     assert list(bpe._pieces(text, special)) == [("x", 2), ("", 1), ("", 3), ("y", 1), ("", 3), ("y", 1), ("", 3), ("y", None)]
+
+
+def test_bpe_decodes_a_word_once(monkeypatch):
+    """op8_bpe: what a word's ids decode to was looked up token by token in every text."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    rules = bpe.merges(BYTE)
+    monkeypatch.setattr(rules, "by_name", Counted(rules.by_name))
+    block = bpe.compile_lexicon([(w, rules.merge(w.decode())) for w in (b"Hello", b" over")])
+    handle = types.SimpleNamespace(digest="counted", open=lambda: bpe.Lexicon(block))
+    text = "Hello over there, unfathomable zxqj é世<|endoftext|>"
+    batch = pa.RecordBatch.from_pydict({"text": [text * 50, None, ""] * 4, "kept": list(range(12))})
+    out = pa.Table.from_batches(bpe._encode(BYTE, handle, True)(iter([batch]))).to_pydict()
+    whole = Tokenizer.from_file(BYTE)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in batch.column(0).to_pylist()]
+    assert out["new_0"] == [",".join(map(str, ids)) for ids in want]
+    assert out["new_1"] == [whole.decode(ids, skip_special_tokens=False) for ids in want]
+    assert Counted.asked < sum(map(len, want)) / 5
