@@ -16,12 +16,14 @@ import mmap
 import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,53 +200,69 @@ def merges(path: str) -> Merges:
 # --- the lexicon -------------------------------------------------------------------------
 
 
-def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
+#: An arc as bytes: its label and its target.
+ARC = np.dtype([("label", "u1"), ("target", "<i4")])
+
+
+def lexicon_table(entries: Iterable[tuple[bytes, list[int]]]) -> pa.Table:
+    """Words and their ids as the table that ``compile_lexicon`` takes."""
+    entries = list(entries)
+    words, ids = pa.array([w for w, _ in entries], pa.binary()), pa.array([i for _, i in entries], pa.list_(pa.int32()))
+    return pa.table({"word": words, "ids": ids})
+
+
+def compile_lexicon(entries: pa.Table | Iterable[tuple[bytes, list[int]]]) -> bytes:
     """A minimal acyclic transducer of distinct non-empty words, as one block of bytes.
 
     Words come in byte order; a branch that no later word can reach is replaced by an equal
     one if there is one. An arc's output is the number of words before it in its state, so
-    the outputs along a word add up to its number in order.
+    the outputs along a word add up to its number in order. States are held as bytes and
+    numbers as flat arrays, since the driver compiles beside what else it holds.
     """
-    entries = sorted(entries)
-    states: list[tuple[bool, tuple]] = []  # final, arcs (label, target); targets come first
-    known: dict[tuple, int] = {}
-    path: list[list] = [[False, []]]  # open states of the word before, root first
+    table = (entries if isinstance(entries, pa.Table) else lexicon_table(entries)).sort_by("word").combine_chunks()
+    arcs, first, final, below = bytearray(), array("q", [0]), bytearray(), array("q")  # by state; targets come first
+    skip = array("i")
+    known: dict[bytes, int] = {}
+    path: list[bytearray] = [bytearray(1)]  # open states of the word before, root first: final, then arcs
     before = b""
 
+    def add(state: bytes) -> int:
+        own = np.frombuffer(state, ARC, offset=1)
+        arcs.extend(memoryview(state)[1:])
+        final.append(state[0])
+        seen = state[0]
+        for to in own["target"].tolist():
+            skip.append(seen)
+            seen += below[to]
+        below.append(seen)
+        first.append(len(skip))
+        return len(final) - 1
+
     def close(down_to: int) -> None:
         for depth in range(len(path) - 1, down_to, -1):
-            final, arcs = path.pop()
-            key = (final, tuple(arcs))
-            number = known.get(key)
+            state = bytes(path.pop())
+            number = known.get(state)
             if number is None:
-                number = known[key] = len(states)
-                states.append(key)
-            path[-1][1].append((before[depth - 1], number))
+                number = known[state] = add(state)
+            path[-1].append(before[depth - 1])
+            path[-1].extend(number.to_bytes(4, "little"))
 
-    for word, _ in entries:
+    for word in table["word"].to_pylist():
         shared = len(os.path.commonprefix([before, word]))
         close(shared)
-        path += [[False, []] for _ in word[shared:]]
-        path[-1][0] = True
+        path += [bytearray(1) for _ in word[shared:]]
+        path[-1][0] = 1
         before = word
     close(0)
-    states.append((path[0][0], tuple(path[0][1])))
-    words_below, first, label, target, skip = [], [0], [], [], []
-    for final, arcs in states:
-        seen = int(final)
-        for c, to in arcs:
-            label.append(c)
-            target.append(to)
-            skip.append(seen)
-            seen += words_below[to]
-        words_below.append(seen)
-        first.append(len(label))
-    ends = np.concatenate(([0], np.cumsum([len(ids) for _, ids in entries], dtype=np.int64))).astype(np.int32)
-    state = np.repeat(np.arange(len(states)), np.diff(first))
+    add(bytes(path[0]))
+    known.clear()
+    own = np.frombuffer(arcs, ARC)
+    state = np.repeat(np.arange(len(final)), np.diff(np.frombuffer(first, np.int64)))
+    sizes = pc.list_value_length(table["ids"]).to_numpy()
     arrays = [
-        state.astype(np.int64) * 256 + np.array(label, np.int64), np.array(target, np.int32), np.array(skip, np.int32),
-        np.array([final for final, _ in states], np.uint8), ends,
-        np.array([i for _, ids in entries for i in ids], np.int32),
+        state.astype(np.int64) * 256 + own["label"], own["target"].astype(np.int32), np.frombuffer(skip, np.int32),
+        np.frombuffer(final, np.uint8), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32),
+        pc.list_flatten(table["ids"]).to_numpy().astype(np.int32),
     ]
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
     return head + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
@@ -362,8 +380,8 @@ def _merge_all(path: str) -> Callable:
     return run
 
 
-def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> list[tuple[bytes, list[int]]]:
-    """The words of the highest counts over the whole column, at most ``most``, with their ids.
+def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> pa.Table:
+    """The words (as bytes) of the highest counts over the whole column, at most ``most``, with their ids.
 
     All words from a count on are taken, so no order among equal counts matters.
     """
@@ -381,9 +399,9 @@ def frequent_words(texts: DataFrame, path: str, most: int = LEXICON) -> list[tup
             break
         least = level.step
     if least is None:
-        return []
+        return lexicon_table([])
     top = counts.where(step >= least).select("word").mapInArrow(_merge_all(path), "word string, ids array<int>")
-    return [(r.word.encode("utf-8"), list(r.ids)) for r in top.collect()]
+    return top.select(F.col("word").cast("binary").alias("word"), "ids").toArrow()
 
 
 def _encode(path: str, handle: _Handle, decode: bool) -> Callable:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import types
 import zlib
 from collections import Counter
@@ -319,6 +320,22 @@ def test_lexicon_shares_endings():
     assert len(bpe.Lexicon(bpe.compile_lexicon(words)).final) == 6
 
 
+def test_lexicon_is_collected_and_compiled_in_little_memory(spark):
+    """The pipeline's driver held a Python object per word, id and state: 250 MB more for a full lexicon."""
+    words = sorted({hashlib.sha256(str(i).encode()).hexdigest()[: 3 + i % 6] for i in range(20_000)})
+    entries = [(w.encode(), [k, k + 1]) for k, w in enumerate(words)]
+    table = bpe.lexicon_table(entries)
+    tracemalloc.start()
+    block = bpe.compile_lexicon(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lexicon = bpe.Lexicon(block)
+    assert [lexicon.output(n) for n in lexicon.find([w for w, _ in entries]).tolist()] == [i for _, i in entries]
+    assert most < 600 * len(words)
+    found = bpe.frequent_words(frame(spark, ["a b a", "b"]).select("text"), BYTE)
+    assert isinstance(found, pa.Table) and sorted(found["word"].to_pylist()) == [b" a", b" b", b"a", b"b"]
+
+
 def test_bpe_equals_the_library(spark, monkeypatch):
     library = Tokenizer.from_file(BYTE)
     docs = queries.op8_bpe(spark, FOLDER).collect()
