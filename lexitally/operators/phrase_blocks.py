@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StringT
 
 from lexitally.functions.text import clean_text, is_blank, remove_stopwords, word_tokens
 from lexitally.operators.ranking import number_within, rank_within
-from lexitally.session import stage
+from lexitally.session import stage, stage_buckets
 
 #: Bytes of text in a block, about, and phrases a range is sent, about.
 BLOCK_BYTES = 8 << 20
@@ -112,8 +112,8 @@ class Keys:
             found += (keys[column] >> shift) & ((1 << self.bits) - 1) > 0
         return found
 
-    def phrases(self, row, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct phrases of a block, and of every document and its phrase: document, phrase, count."""
+    def places(self, row, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+        """The phrase at every place of a block and its document; only places marked ``alive``, if the block has marks."""
         numbers = np.asarray(row["numbers"], np.int64)
         words = numbers[np.frombuffer(row["tokens"], np.int32)]
         ends = np.frombuffer(row["ends"], np.int64)
@@ -128,16 +128,35 @@ class Keys:
             keys.append(key)
             docs.append(doc[at])
         keys, docs = np.concatenate(keys, 1), np.concatenate(docs)
+        if row.get("alive") is None:
+            return keys, docs
+        alive = np.unpackbits(np.frombuffer(row["alive"], np.uint8), count=len(docs)).view(bool)
+        return keys[:, alive], docs[alive]
+
+    def phrases(self, row, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct phrases of a block, and of every document and its phrase: document, phrase, count."""
+        keys, docs = self.places(row, shortest)
         phrases, of = distinct(keys)
         pairs, count = np.unique(docs * max(1, phrases.shape[1]) + of, return_counts=True)
         return phrases, *np.divmod(pairs, max(1, phrases.shape[1])), count
 
-    def ranges(self, phrases: np.ndarray, n: int) -> np.ndarray:
+    def mixed(self, phrases: np.ndarray) -> np.ndarray:
         mixed = np.zeros(phrases.shape[1], np.uint64)
         for key in phrases:
             mixed = (mixed ^ key.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-        return (mixed >> np.uint64(20)) % np.uint64(n)
+        return mixed
+
+    def ranges(self, phrases: np.ndarray, n: int) -> np.ndarray:
+        return (self.mixed(phrases) >> np.uint64(20)) % np.uint64(n)
+
+    def codes(self, row, shortest: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct codes of a block, a phrase's range above 32 bits of its hash; the code at every place; its document."""
+        keys, docs = self.places(row, shortest)
+        mixed = self.mixed(keys)
+        low = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+        found, of = np.unique((mixed >> np.uint64(20)) % np.uint64(n) << np.uint64(32) | low, return_inverse=True)
+        return found, of, docs
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +176,16 @@ def _per_range(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(int(held[lo]), slice(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs, which the first byte says."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 SENT = "part long, block long, keys binary, docs binary"
 BACK = "block long, part long, docs binary"
 SUMS = "part long, block long, keys binary, sums binary"
@@ -174,6 +203,56 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c.values.to_numpy(zero_copy_only=False) if isinstance(c, pa.ListScalar) else c.as_py() for n, c in cells.items()}
 
 
+def _ask(keys: Keys, shortest: int, n_ranges: int) -> Callable:
+    """The code of every phrase of a block, once, with how many of its documents hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            codes, of, doc = keys.codes(row, shortest, n_ranges)
+            docs = np.bincount(of, minlength=len(codes))
+            several = docs[of] > 1
+            pairs = np.sort(of[several] * max(1, row["n_docs"]) + doc[several])
+            pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+            docs = np.where(docs > 1, np.bincount(pairs // max(1, row["n_docs"]), minlength=len(codes)), docs)
+            _, cuts = _per_range(codes >> np.uint64(32))
+            low = codes.astype(np.uint32)
+            sent = [{"part": p, "block": row["block"], "keys": low[at].tobytes(), "docs": _packed(docs[at])} for p, at in cuts]
+            if sent:
+                yield pa.RecordBatch.from_pylist(sent, _arrow(SENT))
+
+    return run
+
+
+def _answer(min_df: int) -> Callable:
+    """Every block gets a bit per code it sent: whether enough documents have it. Codes that meet only add to the count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _ranges(batches):
+            codes = [np.frombuffer(row["keys"], np.uint32) for row in held]
+            found, of = np.unique(np.concatenate(codes), return_inverse=True)
+            enough = np.bincount(of, np.concatenate([_unpacked(row["docs"]) for row in held]), len(found)) >= min_df
+            back = np.split(enough[of], np.cumsum([len(c) for c in codes])[:-1].tolist())
+            rows = [{"block": row["block"], "part": part, "docs": np.packbits(x).tobytes()} for row, x in zip(held, back)]
+            yield pa.RecordBatch.from_pylist(rows, _arrow(BACK))
+
+    return run
+
+
+def _mark(keys: Keys, shortest: int, n_ranges: int) -> Callable:
+    """A bit for every place of a block: whether its phrase can be in enough documents."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        codes, of, _ = keys.codes(row, shortest, n_ranges)
+        _, cuts = _per_range(codes >> np.uint64(32))
+        bits = dict(zip(right["part"], right["docs"]))
+        enough = [np.unpackbits(np.frombuffer(bits[p], np.uint8), count=at.stop - at.start) for p, at in cuts]
+        alive = np.concatenate([np.zeros(0, np.uint8), *enough])[of]
+        return pd.DataFrame([(row["block"], np.packbits(alive).tobytes())], columns=["block", "alive"])
+
+    return run
+
+
 def _send(keys: Keys, shortest: int, n_ranges: int) -> Callable:
     """Every phrase of a block, once, with how many of its documents hold it."""
 
@@ -183,7 +262,7 @@ def _send(keys: Keys, shortest: int, n_ranges: int) -> Callable:
             order, cuts = _per_range(keys.ranges(phrases, n_ranges))
             docs = np.bincount(of, minlength=phrases.shape[1]).astype(np.int64)[order]
             phrases = phrases[:, order]
-            sent = [{"part": p, "block": row["block"], "keys": phrases[:, at].tobytes(), "docs": docs[at].tobytes()} for p, at in cuts]
+            sent = [{"part": p, "block": row["block"], "keys": phrases[:, at].tobytes(), "docs": _packed(docs[at])} for p, at in cuts]
             if sent:
                 yield pa.RecordBatch.from_pylist(sent, _arrow(SENT))
 
@@ -212,7 +291,7 @@ def _documents(held: list[dict], columns: int) -> tuple[np.ndarray, np.ndarray,
     """Phrases of a range with their documents, which phrase each sent entry is, and where senders begin."""
     keys, cuts = _joined_keys(held, columns)
     phrases, of = distinct(keys)
-    docs = np.concatenate([np.frombuffer(row["docs"], np.int64) for row in held])
+    docs = np.concatenate([_unpacked(row["docs"]) for row in held])
     return phrases, np.bincount(of, docs, phrases.shape[1]).astype(np.int64), of, cuts
 
 
@@ -223,7 +302,7 @@ def _return(keys: Keys) -> Callable:
         for part, held in _ranges(batches):
             _, docs, of, cuts = _documents(held, keys.columns)
             back = np.split(docs[of], cuts)
-            rows = [{"block": row["block"], "part": part, "docs": d.tobytes()} for row, d in zip(held, back)]
+            rows = [{"block": row["block"], "part": part, "docs": _packed(d)} for row, d in zip(held, back)]
             yield pa.RecordBatch.from_pylist(rows, _arrow(BACK))
 
     return run
@@ -251,7 +330,7 @@ def _weigh(keys: Keys, shortest: int, n_ranges: int, n_docs: int, min_df: int, s
         phrases, doc, of, count = keys.phrases(row, shortest)
         order, _ = _per_range(keys.ranges(phrases, n_ranges))
         docs = np.zeros(phrases.shape[1], np.int64)
-        docs[order] = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in right.sort_values("part")["docs"]]])
+        docs[order] = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, right.sort_values("part")["docs"])])
         idf = np.where(docs >= min_df, np.log((1.0 + n_docs) / (1.0 + docs)) + 1.0, 0.0)
         weight = (1.0 + np.log(count) if sublinear else count.astype(np.float64)) * idf[of]
         group = np.frombuffer(row["groups"], np.int32)[doc]
@@ -312,23 +391,33 @@ class PhraseBlocks:
         bits = max(1, self.n_words.bit_length())
         return Keys(bits, longest, max(1, KEY_BITS // bits))
 
-    def _dealt(self) -> DataFrame:
-        return self.blocks.repartition(self.n_blocks, "block")
-
     def _ranges(self, shortest: int, longest: int) -> int:
         cores = self.blocks.sparkSession.sparkContext.defaultParallelism
         entries = self.n_tokens * (longest - shortest + 1)
         return min(MOST_RANGES, max(1, min(cores, entries // 4096), -(-entries // RANGE_ENTRIES)))
 
-    def _sent(self, keys: Keys, shortest: int, n: int) -> DataFrame:
-        return self._dealt().mapInArrow(_send(keys, shortest, n), SENT).repartition(n, "part").sortWithinPartitions("part", "block")
+    def _sent(self, keys: Keys, shortest: int, n: int, blocks: DataFrame) -> DataFrame:
+        return blocks.mapInArrow(_send(keys, shortest, n), SENT).repartition(n, "part").sortWithinPartitions("part", "block")
+
+    def _thinned(self, keys: Keys, shortest: int, n: int, min_df: int) -> DataFrame:
+        """The blocks with marks at the places whose phrases can be in ``min_df`` documents.
+
+        Most long phrases are in one document only. Blocks ask with 32 bits of a phrase's hash, within its range, and
+        get a bit back, so only phrases that may count travel whole; a phrase whose bits meet others' is told apart then.
+        """
+        asked = self.blocks.withColumn("n_docs", F.size("labels")).mapInArrow(_ask(keys, shortest, n), SENT)
+        back = asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer(min_df), BACK)
+        back = back.repartition(self.n_blocks, "block")
+        marks = self.blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_mark(keys, shortest, n), "block long, alive binary")
+        marks, _ = stage(marks)
+        return self.blocks.join(marks.repartition(self.n_blocks, "block"), "block")
 
     def feature_counts(self, slices: Sequence[tuple[int, int, int]]) -> list[int]:
         """How many phrases of these lengths (from, to) are in as many documents, for every slice."""
         if not self.n_tokens:
             return [0] * len(slices)
         shortest, keys = min(s[0] for s in slices), self._keys(max(s[1] for s in slices))
-        counted = self._sent(keys, shortest, self._ranges(shortest, keys.longest)).mapInArrow(_count(keys, slices), "slice long, n long")
+        counted = self._sent(keys, shortest, self._ranges(shortest, keys.longest), self.blocks).mapInArrow(_count(keys, slices), "slice long, n long")
         found = {r["slice"]: r["n"] for r in counted.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
         return [found.get(k, 0) for k in range(len(slices))]
 
@@ -342,9 +431,12 @@ class PhraseBlocks:
                 self.label, F.lit(0).alias("rank"), F.lit("").alias(term), F.lit(0.0).alias("mean_tfidf")
             )
         n = self._ranges(shortest, keys.longest)
-        back = self._sent(keys, shortest, n).mapInArrow(_return(keys), BACK).repartition(self.n_blocks, "block")
+        # words and pairs of words are often shared: asking first would cost more time than it saves
+        thin = min_df > 1 and shortest > 2 and self.n_blocks > 1
+        blocks = self._thinned(keys, shortest, n, min_df) if thin else self.blocks
+        back = self._sent(keys, shortest, n, blocks).mapInArrow(_return(keys), BACK).repartition(self.n_blocks, "block")
         weigh = _weigh(keys, shortest, n, self.n_docs, min_df, sublinear)
-        sums = self._dealt().groupBy("block").cogroup(back.groupBy("block")).applyInPandas(weigh, SUMS)
+        sums = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(weigh, SUMS)
         sums = sums.repartition(n, "part").sortWithinPartitions("part", "block")
         schema = ", ".join(f"{x} long" for x in ("_label", *names)) + ", score double"
         best = sums.mapInArrow(_best(keys, [size for _, size in self.sizes], top_n), schema)
@@ -403,10 +495,10 @@ def phrase_blocks(
     else:
         numbers = F.transform("labels", lambda x: F.lit(-1).cast("long"))
     full = blocks.drop("words").repartition(n_blocks, "block").join(own.repartition(n_blocks, "block"), "block", "left")
-    full, _ = stage(
-        full.select(
-            "block", "tokens", "ends", "groups", numbers.alias("labels"),
-            F.coalesce("_own.number", F.array().cast("array<bigint>")).alias("numbers"),
-        )
+    full = full.select(
+        "block", "tokens", "ends", "groups", numbers.alias("labels"),
+        F.coalesce("_own.number", F.array().cast("array<bigint>")).alias("numbers"),
     )
+    # read by block again and again, without another exchange of all tokens
+    full = stage_buckets(full, n_blocks, "block", "block")
     return PhraseBlocks(full, words, sizes, label, kind, seen["n_docs"] or 0, n_words, int(seen["n_tokens"] or 0), n_blocks)
