@@ -285,6 +285,42 @@ def test_suffix_dedup_on_the_given_table_and_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.kept, r.n_removed) for r in rows) == [(0, "z", 0), (1, "x", 60), (1, "y", 60)]
 
 
+def test_suffix_dedup_takes_little_memory_for_a_shard():
+    rng = np.random.default_rng(5)
+    base = bytes(rng.integers(97, 120, 1500).astype(np.uint8))
+    parts = [base[k : k + 700] for k in rng.integers(0, 800, 700).tolist()]
+    tracemalloc.start()
+    try:
+        suffix_dedup.repeated_starts(parts, 400)
+        assert tracemalloc.get_traced_memory()[1] < 55 * sum(map(len, parts))
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_dedup_gives_an_anchor_with_much_to_compare_its_own_shard(spark, monkeypatch, tmp_path):
+    run, note = suffix_dedup._shard, str(tmp_path / "sizes")
+
+    def watched(length):
+        def shard(pdf):
+            with open(note, "a") as f:
+                f.write(f"{sum(map(len, pdf['bytes']))}\n")
+            return run(length)(pdf)
+
+        return shard
+
+    rng = random.Random(6)
+    near = ["".join(rng.choices("abcdef", k=30)) for _ in range(8)]
+    texts = [near[k % 8] + "".join(rng.choices("ghij", k=3)) for k in range(160)] + [None, ""]
+    want = repeats_brute(dict(enumerate(texts)), 24)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "_shard", watched)
+    assert removed(suffix_dedup.remove_repeats(frame(spark, texts), length=24)) == want
+    with open(note) as f:
+        sizes = [int(x) for x in f]
+    # more shards than the bytes alone would give, and none is larger than asked
+    assert len(sizes) > -(-sum(sizes) // 2000) and max(sizes) <= 2000
+
+
 # --- BPE
 
 
