@@ -34,6 +34,8 @@ from lexitally.llm.common import mapped, named, slices, utf8, worker_memory
 LEXICON = 1 << 18
 #: Words beside those of the lexicon that a worker remembers.
 MEMORY = 150_000
+#: Bytes of a word at most that is merged together with others of its length.
+SIDE_BY_SIDE = 32
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -143,6 +145,19 @@ class Merges:
             self.rank[vocab[a] << 32 | vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.by_name = {str(i): piece for i, piece in self.piece.items()}
+        # The same as arrays, for many words at once: pairs in ascending order, and no pair beyond the last.
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        self._pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self._ranks = np.append(np.fromiter(self.rank.values(), np.int32, len(pairs))[order], np.int32(len(self.made)))
+        self._made, self._of_byte = np.array(self.made, np.int64), np.array(self.of_byte, np.int64)
+        two = self._of_byte[:, None] << 32 | self._of_byte[None, :]
+        self._of_two = self._rank_of(two)
+
+    def _rank_of(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of rules for those that no rule merges."""
+        at = np.searchsorted(self._pairs, pairs)
+        return np.where(self._pairs[at] == pairs, self._ranks[at], np.int32(len(self.made)))
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the pair of lowest rank is merged, the leftmost first, until none is left."""
@@ -164,6 +179,51 @@ class Merges:
                 ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
         return ids
 
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of every word; words of equally many bytes are merged side by side.
+
+        Each round merges one pair of every word that is not finished, so all of them stay equally long.
+        """
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        out: list = [None] * len(coded)
+        for length in np.unique(size).tolist():
+            own = np.flatnonzero(size == length)
+            if not 2 <= length <= SIDE_BY_SIDE:
+                for k in own.tolist():
+                    out[k] = self.merge(words[k])
+                continue
+            for lo in range(0, len(own), 4096):
+                self._merge_equal(own[lo : lo + 4096], coded, length, out)
+        return out
+
+    def _merge_equal(self, which: np.ndarray, coded: list[bytes], length: int, out: list) -> None:
+        signs = np.frombuffer(b"".join([coded[k] for k in which.tolist()]), np.uint8).reshape(-1, length)
+        ids, ranks, none = self._of_byte[signs], self._of_two[signs[:, :-1], signs[:, 1:]], len(self.made)
+        while len(which):
+            row = np.arange(len(which))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(which), np.int64)
+            best = ranks[row, at] if ranks.shape[1] else np.full(len(which), none)
+            ended = best == none
+            if ended.any():
+                for k, found in zip(which[ended].tolist(), ids[ended].tolist()):
+                    out[k] = found
+                live = ~ended
+                which, ids, ranks, at, best = which[live], ids[live], ranks[live], at[live], best[live]
+                row = np.arange(len(which))
+            if not len(which):
+                break
+            ids[row, at] = self._made[best]
+            keep = np.ones(ids.shape, bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(which), -1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(len(which), -1)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < ranks.shape[1])
+            for some, first in ((before, at[before] - 1), (after, at[after])):
+                ranks[some, first] = self._rank_of(ids[some, first] << 32 | ids[some, first + 1])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, for words whose pairs are too many to scan each time."""
         n = len(ids)
@@ -372,9 +432,9 @@ def _count(path: str) -> Callable:
 
 def _merge_all(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = merges(path).merge
+        merge_many = merges(path).merge_many
         for batch in batches:
-            ids = [merge(w) for w in batch.column(0).to_pylist()]
+            ids = merge_many(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
@@ -413,14 +473,15 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
 
         def learn(new: list[str]) -> None:
             numbers = lexicon.find([w.encode("utf-8") for w in new]).tolist()
+            others = [w for w, number in zip(new, numbers) if number < 0]
+            rare.extend(others)
+            merged = iter(rules.merge_many(others))
             for word, number in zip(new, numbers):
-                if number < 0:
-                    rare.append(word)
-                ids = lexicon.output(number) if number >= 0 else rules.merge(word)
-                names = [str(i) for i in ids]
+                ids = lexicon.output(number) if number >= 0 else next(merged)
+                names = list(map(str, ids))
                 memory[word] = ",".join(names)
                 if decode:
-                    decoded[word] = b"".join(map(rules.by_name.__getitem__, names))
+                    decoded[word] = b"".join(map(rules.piece.__getitem__, ids))
 
         for batch in batches:
             _, offsets = utf8(batch.column(0))
@@ -428,13 +489,13 @@ def _encode(path: str, handle: _Handle, decode: bool) -> Callable:
             for lo, hi in slices(offsets):
                 held = batch.slice(lo, hi - lo)
                 texts = [[(words(p), s) for p, s in _pieces(t or "", rules.special)] for t in held.column(0).to_pylist()]
-                new = {w for text in texts for ws, _ in text for w in ws}
+                new = set().union(*[ws for text in texts for ws, _ in text])
                 if len(rare) > MEMORY:
                     for word in rare:
                         del memory[word]
                         decoded.pop(word, None)
                     rare.clear()
-                learn([w for w in new if w not in memory])
+                learn(list(new.difference(memory)))
                 lines, pieces = [], []
                 for text in texts:
                     parts: list[str] = []

@@ -327,6 +327,17 @@ def test_suffix_dedup_gives_an_anchor_with_much_to_compare_its_own_shard(spark,
 PIECES = ["'s", "'re", "'ll", "'", " ", "  ", "\n", "\t", "a", "Zeta", "é", "½", "٣", "!", "…", "\u00a0", "\u0301", "日本", "😀", "<|endoftext|>", "<|endo", "'S", "\x85", "\x1c", "\U0001e5fa", "1", "23"]
 
 
+def test_words_merged_side_by_side_are_those_merged_alone():
+    rules, rng = bpe.merges(BYTE), random.Random(4)
+    words = ["", " ", "a", "é", "😀", " the", "aaaaaaa", "x" * 33, "ab" * 200]
+    words += ["".join(rng.choices(["a", "b", "th", "e", "ing", " ", "é", "日", "1", "'"], k=rng.randrange(20))) for _ in range(6000)]
+    alone = []
+    for word in words:
+        alone.append(rules.merge(word))
+    assert rules.merge_many(words) == alone
+    assert rules.merge_many([]) == []
+
+
 def test_words_and_merges_equal_the_library():
     library, rules = Tokenizer.from_file(BYTE), bpe.merges(BYTE)
     rng = random.Random(8)
