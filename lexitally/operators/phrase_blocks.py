@@ -186,6 +186,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Rows of keys by the place of a byte: bytes that neighbours share, or that no key needs, lie together and compress."""
+    return np.ascontiguousarray(keys, np.int64).view(np.uint8).reshape(len(keys), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _keys_of(data: bytes, columns: int) -> np.ndarray:
+    """The rows of keys that ``_planes`` made."""
+    planes = np.frombuffer(data, np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
 SENT = "part long, block long, keys binary, docs binary"
 BACK = "block long, part long, docs binary"
 SUMS = "part long, block long, keys binary, sums binary"
@@ -262,7 +273,7 @@ def _send(keys: Keys, shortest: int, n_ranges: int) -> Callable:
             order, cuts = _per_range(keys.ranges(phrases, n_ranges))
             docs = np.bincount(of, minlength=phrases.shape[1]).astype(np.int64)[order]
             phrases = phrases[:, order]
-            sent = [{"part": p, "block": row["block"], "keys": phrases[:, at].tobytes(), "docs": _packed(docs[at])} for p, at in cuts]
+            sent = [{"part": p, "block": row["block"], "keys": _planes(phrases[:, at]), "docs": _packed(docs[at])} for p, at in cuts]
             if sent:
                 yield pa.RecordBatch.from_pylist(sent, _arrow(SENT))
 
@@ -283,7 +294,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
 
 
 def _joined_keys(held: list[dict], columns: int) -> tuple[np.ndarray, list[int]]:
-    keys = [np.frombuffer(row["keys"], np.int64).reshape(columns, -1) for row in held]
+    keys = [_keys_of(row["keys"], columns) for row in held]
     return np.concatenate(keys, 1), np.cumsum([k.shape[1] for k in keys])[:-1].tolist()
 
 
@@ -322,8 +333,22 @@ def _count(keys: Keys, slices: Sequence[tuple[int, int, int]]) -> Callable:
     return run
 
 
-def _weigh(keys: Keys, shortest: int, n_ranges: int, n_docs: int, min_df: int, sublinear: bool) -> Callable:
-    """The sum of a phrase's weights in a block, per label, once its documents are known."""
+def _can_lead(scores: np.ndarray, label: np.ndarray, top_n: int) -> np.ndarray:
+    """Scores that can be among the ``top_n`` of their label, those equal to 11 places included."""
+    kept = scores > 0
+    for one in np.unique(label):
+        own = np.flatnonzero(label == one)
+        if len(own) > top_n:
+            least = np.partition(scores[own], len(own) - top_n)[len(own) - top_n]
+            kept[own] &= scores[own] >= least - 1e-11
+    return kept
+
+
+def _weigh(keys: Keys, shortest: int, n_ranges: int, n_docs: int, min_df: int, sublinear: bool, sizes: Sequence[int], top_n: int) -> Callable:
+    """The sum of a phrase's weights in a block, per label, once its documents are known.
+
+    A phrase whose documents are all in the block has its whole sum there: only those that lead in the block travel.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
@@ -339,11 +364,16 @@ def _weigh(keys: Keys, shortest: int, n_ranges: int, n_docs: int, min_df: int, s
         held = (label >= 0) & (weight > 0)
         cells, at = np.unique(label[held] * max(1, phrases.shape[1]) + of[held], return_inverse=True)
         sums = np.bincount(at, weight[held] / norm[held], len(cells))
+        whole = docs == np.bincount(of, minlength=len(docs))
         label, of = np.divmod(cells, max(1, phrases.shape[1]))
+        whole = np.flatnonzero(whole[of])
+        leads = np.ones(len(cells), bool)
+        leads[whole] = _can_lead(sums[whole] / np.asarray(sizes, np.float64)[label[whole]], label[whole], top_n)
+        label, of, sums = label[leads], of[leads], sums[leads]
         sent = np.concatenate([label[None], phrases[:, of]])
         order, cuts = _per_range(keys.ranges(phrases[:, of], n_ranges))
         sent, sums = sent[:, order], sums[order]
-        out = [(p, row["block"], sent[:, x].tobytes(), sums[x].tobytes()) for p, x in cuts]
+        out = [(p, row["block"], _planes(sent[:, x]), sums[x].tobytes()) for p, x in cuts]
         return pd.DataFrame(out, columns=["part", "block", "keys", "sums"])
 
     return run
@@ -359,12 +389,7 @@ def _best(keys: Keys, sizes: Sequence[int], top_n: int) -> Callable:
             cells, of = distinct(sent)
             sums = np.bincount(of, np.concatenate([np.frombuffer(row["sums"]) for row in held]), cells.shape[1])
             scores = sums / np.asarray(sizes, np.float64)[cells[0]]
-            kept = scores > 0
-            for label in np.unique(cells[0]):
-                own = np.flatnonzero(cells[0] == label)
-                if len(own) > top_n:
-                    least = np.partition(scores[own], len(own) - top_n)[len(own) - top_n]
-                    kept[own] &= scores[own] >= least - 1e-11
+            kept = _can_lead(scores, cells[0], top_n)
             yield pa.RecordBatch.from_arrays([*map(pa.array, cells[:, kept]), pa.array(scores[kept])], names=names)
 
     return run
@@ -435,7 +460,7 @@ class PhraseBlocks:
         thin = min_df > 1 and shortest > 2 and self.n_blocks > 1
         blocks = self._thinned(keys, shortest, n, min_df) if thin else self.blocks
         back = self._sent(keys, shortest, n, blocks).mapInArrow(_return(keys), BACK).repartition(self.n_blocks, "block")
-        weigh = _weigh(keys, shortest, n, self.n_docs, min_df, sublinear)
+        weigh = _weigh(keys, shortest, n, self.n_docs, min_df, sublinear, [size for _, size in self.sizes], top_n)
         sums = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(weigh, SUMS)
         sums = sums.repartition(n, "part").sortWithinPartitions("part", "block")
         schema = ", ".join(f"{x} long" for x in ("_label", *names)) + ", score double"
