@@ -133,8 +133,11 @@ def fit_forest(
         dealt = dealt.withColumn("times", sum(((drawn >= x).cast("long") for x in DRAWN), F.lit(0).cast("long"))).where("times > 0")
     else:
         dealt = dealt.withColumn("times", F.lit(1).cast("long"))
+    roots = dealt.groupBy("tree").agg(*_per_label(labels)).collect()  # one row per tree
+    nodes = {(r.tree, 1): [r[f"n{k}"] for k in range(len(labels))] for r in roots}
     for level in range(depth + 1):
-        if not _grow(forest, dealt, level, factors, term_share, min_rows, seed):
+        nodes = _grow(forest, dealt, level, nodes, factors, term_share, min_rows, seed)
+        if not nodes:
             break
     return forest
 
@@ -143,18 +146,23 @@ def _per_label(labels: Iterable) -> list[Column]:
     return [F.sum(F.when(F.col("label") == name, F.col("times")).otherwise(0)).alias(f"n{k}") for k, name in enumerate(labels)]
 
 
-def _grow(forest: Forest, dealt: DataFrame, level: int, factors: list[float], term_share: float, min_rows: int, seed: int) -> bool:
-    """Add the masses of a level's nodes and their splits; whether there is a next level."""
+def _grow(
+    forest: Forest, dealt: DataFrame, level: int, found: dict, factors: list[float], term_share: float, min_rows: int, seed: int
+) -> dict[tuple[int, int], list[int]]:
+    """Add the masses of a level's nodes and their splits; the nodes of the next level.
+
+    Nodes come with the draws of every label in them. Those of the next level follow from the
+    rows with the term of a split, so a level takes one pass over the documents.
+    """
     labels = range(len(factors))
-    placed = dealt.withColumn("node", forest.node(F.col("tree"), F.col("terms"), level)).where(F.col("node") >= 1 << level)
-    found = placed.groupBy("tree", "node").agg(*_per_label(forest.labels)).collect()  # the nodes of a level
-    for row in found:
-        forest.masses[row.tree, row.node] = [row[f"n{k}"] * factors[k] for k in labels]
-    mixed = [row for row in found if sum(row[f"n{k}"] > 0 for k in labels) > 1]
+    for (tree, node), counts in found.items():
+        forest.masses[tree, node] = [counts[k] * factors[k] for k in labels]
+    mixed = {at: counts for at, counts in found.items() if sum(n > 0 for n in counts) > 1}
     if level == forest.depth or not mixed:
-        return False
+        return {}
+    placed = dealt.withColumn("node", forest.node(F.col("tree"), F.col("terms"), level)).where(F.col("node") >= 1 << level)
     names = ", ".join(f"t{k} long" for k in labels)
-    nodes = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in mixed], f"tree int, node int, {names}"))
+    nodes = F.broadcast(placed.sparkSession.createDataFrame([(*at, *n) for at, n in mixed.items()], f"tree int, node int, {names}"))
     asked = placed.join(nodes, ["tree", "node"]).select("tree", "node", "label", "times", F.explode("terms").alias("term"))
     if term_share < 1:
         asked = asked.where(_unit(F.lit(seed + 1), F.col("tree"), F.col("node"), F.col("term")) < term_share)
@@ -173,8 +181,12 @@ def _grow(forest: Forest, dealt: DataFrame, level: int, factors: list[float], te
     gain = (pure(with_it) + pure(without) - pure(all_of)) / add(all_of)
     inside, every = add([F.col(f"n{k}") for k in labels]), add([F.col(f"t{k}") for k in labels])
     counts = counts.where((inside >= min_rows) & (every - inside >= max(min_rows, 1))).withColumn("gain", F.round(gain, 9))
-    best = counts.where("gain > 0").groupBy("tree", "node").agg(F.min(F.struct((-F.col("gain")).alias("less"), "term")).alias("best"))
-    split = best.select("tree", "node", "best.less", "best.term").collect()  # the nodes of a level
-    for row in split:
+    first = F.min(F.struct((-F.col("gain")).alias("less"), "term", F.array(*[f"n{k}" for k in labels]).alias("inside")))
+    best = counts.where("gain > 0").groupBy("tree", "node").agg(first.alias("best"))
+    below = {}
+    for row in best.select("tree", "node", "best.*").collect():  # the nodes of a level
         forest.splits[row.tree, row.node] = (row.term, -row.less)
-    return bool(split)
+        if row.term is not None:
+            below[row.tree, 2 * row.node] = [n - x for n, x in zip(mixed[row.tree, row.node], row.inside)]
+            below[row.tree, 2 * row.node + 1] = list(row.inside)
+    return below
